@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from followgraph.functions.columns import page_of
 from followgraph.operators.edges import check_endpoint, collapse, other_endpoint
-from followgraph.plans.skew import is_hot
+from followgraph.plans.skew import is_hot, total_of
 
 PAGE_SIZE = 10_000
 MAX_PAGED_NODES = 1_000_000
@@ -36,7 +36,8 @@ def adjacency(
     sizes = pairs.groupBy(F.col(key).alias("_hot")).agg(
         F.count_if(F.col("n") > 0).alias("_neighbours")
     )
-    hot = sizes.where(is_hot(sizes, F.col("_neighbours"), page_size, max_paged)).select(
+    total = total_of(pairs, F.when(F.col("n") > 0, 1))
+    hot = sizes.where(is_hot(F.col("_neighbours"), total, page_size, max_paged)).select(
         "_hot", F.ceil(F.col("_neighbours") / F.lit(page_size)).cast("bigint").alias("_pages")
     )
     one = F.lit(1).cast("bigint")

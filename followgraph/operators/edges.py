@@ -20,6 +20,11 @@ def other_endpoint(endpoint: str) -> str:
     return "follower" if check_endpoint(endpoint) == "followee" else "followee"
 
 
+def known(edges: DataFrame) -> DataFrame:
+    """Edges that have both ends."""
+    return edges.where(F.col("follower").isNotNull() & F.col("followee").isNotNull())
+
+
 def truncate(edges: DataFrame, max_id: int) -> DataFrame:
     """Edges of the subgraph of nodes with id < max_id (strict, both ends)."""
     return edges.where((F.col("follower") < max_id) & (F.col("followee") < max_id))
@@ -52,6 +57,8 @@ def collapse(edges: DataFrame) -> DataFrame:
     """Distinct edges with their number of copies, ``n``.
 
     The count is partial before the shuffle, so a pair that holds a large part
-    of all rows costs one row per task.
+    of all rows costs one row per task. Edges with a missing end are dropped
+    here: the joins would drop them, and stating it once gives every branch of
+    a plan the same scan, so that all branches share one shuffle.
     """
-    return edges.groupBy("follower", "followee").agg(F.count(F.lit(1)).alias("n"))
+    return known(edges).groupBy("follower", "followee").agg(F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,8 @@ edges multiply and self-loops take part. Every walk is seen from three start
 nodes, except a walk around one self-loop; triangles = closed walks div 3.
 
 Each strategy finds one rotation of every walk, the one whose first node ``a``
-ranks lowest (rank(a) < rank(b) and rank(a) <= rank(c)), and derives the rest.
-Nodes are ranked by degree, then id, so that a hub is never the middle of the
+ranks lowest (rank(a) < rank(b) and rank(a) <= rank(c), or a = b = c), and
+derives the rest. Nodes are ranked by degree, then id, so that a hub is never the middle of the
 join: its edges are looked up from their other ends.
 """
 
@@ -26,15 +26,15 @@ from followgraph.functions.columns import (
 )
 from followgraph.operators.edges import collapse
 from followgraph.plans.sizing import BROADCAST_ROWS, fits_broadcast
-from followgraph.plans.skew import total_of
+from followgraph.plans.skew import slices_for, total_of
 
 STRATEGIES = ("shuffle", "broadcast", "adjacency")
 
 # Nodes ranked by their exact degree when the graph is larger than this.
 RANKED_NODES = 1_000_000
 
-# Fan-out of the closing edges between two ranked nodes (both rank > 0).
-CLOSING_SLICES = 16
+# Walks that may meet at one closing edge before it is replicated to slices.
+CLOSING_ROWS = 100_000
 
 
 def _ranks(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
@@ -60,7 +60,7 @@ def _ranks(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
             (F.bool_or("end.out") & F.bool_or(~F.col("end.out"))).alias("_through"),
         )
     )
-    total = total_of(nodes, F.col("_degree"))
+    total = total_of(pairs, F.when(F.col("n") > 0, 2))
     bar = F.least(F.sqrt(total), total / F.lit(float(ranked_nodes)))
     return nodes.where(F.col("_degree") >= bar)
 
@@ -100,15 +100,19 @@ def _ranked(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
 
 
 def _upward() -> Column:
-    """The source of an edge ranks strictly below its target."""
+    """The source of an edge, which is no self-loop, ranks below its target."""
     lower, higher = F.col("follower_rank"), F.col("followee_rank")
     return (lower < higher) | ((lower == higher) & (F.col("follower") < F.col("followee")))
 
 
 def _legs(pairs: DataFrame, ranked_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The roles of an edge in a walk: a -> b (up), c -> a (down), b -> c (any)."""
+    """The roles of an edge in a walk: a -> b (up), c -> a (down), b -> c (any).
+
+    A self-loop can take every role.
+    """
     ranked = _ranked(pairs, ranked_nodes)
-    first = ranked.where(_upward()).select(
+    loop = F.col("follower") == F.col("followee")
+    first = ranked.where(_upward() | loop).select(
         F.col("follower").alias("a"),
         F.col("followee").alias("b"),
         F.col("n").alias("n_ab"),
@@ -130,9 +134,18 @@ def _legs(pairs: DataFrame, ranked_nodes: int) -> tuple[DataFrame, DataFrame, Da
     return first, last, middle
 
 
-def _fan(b_rank: Column, c_rank: Column) -> Column:
-    """Slices of a closing pair: only a pair of hubs can close very many walks."""
-    return F.when((b_rank > 0) & (c_rank > 0), CLOSING_SLICES).otherwise(1)
+def _one_rotation() -> Column:
+    """Join condition: a self-loop a -> b starts the walk around itself only."""
+    return (F.col("a") != F.col("b")) | (F.col("a") == F.col("c"))
+
+
+def _fan() -> Column:
+    """Slices of a closing edge b -> c.
+
+    The walks it closes start at common neighbours, so they are no more than
+    the smaller degree of its ends: only an edge between two hubs is sliced.
+    """
+    return slices_for(F.least("b_rank", "c_rank"), CLOSING_ROWS)
 
 
 def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
@@ -143,18 +156,21 @@ def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     replicated to a few slices and the walks of the pair are dealt out to them.
     """
     first, last, middle = _legs(pairs, ranked_nodes)
-    fan = _fan(F.col("b_rank"), F.col("c_rank"))
-    wedges = first.join(last.hint("merge"), "a").withColumn(
-        "_slice", slice_of(fan, F.col("a"))
+    wedges = (
+        first.join(last.hint("merge"), "a")
+        .where(_one_rotation())
+        .select("a", "b", "c", "n_ab", "n_ca", slice_of(_fan(), F.col("a")).alias("_slice"))
     )
-    closing = middle.select("b", "c", "n_bc", each(fan).alias("_slice"))
+    closing = middle.select("b", "c", "n_bc", each(_fan()).alias("_slice"))
     return wedges.join(closing.hint("merge"), ["b", "c", "_slice"])
 
 
 def _by_broadcast(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     """The same two joins, with the edges replicated to every task."""
     first, last, middle = _legs(pairs, ranked_nodes)
-    wedges = first.drop("b_rank").join(F.broadcast(last.drop("c_rank")), "a")
+    wedges = first.drop("b_rank").join(F.broadcast(last.drop("c_rank")), "a").where(
+        _one_rotation()
+    )
     return wedges.join(F.broadcast(middle.drop("b_rank", "c_rank")), ["b", "c"])
 
 
@@ -172,13 +188,14 @@ def _by_adjacency(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
         first.join(F.broadcast(into_a), "a")
         .join(F.broadcast(out_of_b), "b")
         .select("*", F.explode(common).alias("c"))
+        .where(_one_rotation())
         .withColumn("n_ca", F.col("into_a")[F.col("c")])
         .withColumn("n_bc", F.col("out_of_b")[F.col("c")])
     )
 
 
 def _walks(edges: DataFrame, strategy: str, max_broadcast: int, ranked_nodes: int) -> DataFrame:
-    """One rotation of every closed walk but pure self-loops: a, b, c and copies."""
+    """One rotation of every closed walk: a, b, c and the copies of its edges."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     pairs = collapse(edges)
@@ -191,11 +208,6 @@ def _walks(edges: DataFrame, strategy: str, max_broadcast: int, ranked_nodes: in
     return found.select("a", "b", "c", "n_ab", "n_bc", "n_ca")
 
 
-def _loops(edges: DataFrame) -> DataFrame:
-    """Self-loops with their copies."""
-    return collapse(edges).where(F.col("follower") == F.col("followee"))
-
-
 def triangle_count(
     edges: DataFrame,
     strategy: str = "shuffle",
@@ -208,12 +220,9 @@ def triangle_count(
     plan when there are more than ``max_broadcast``. The answer is the same.
     """
     walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
-    rotated = walks.select(
-        (wide(F.col("n_ab")) * wide(F.col("n_bc")) * wide(F.col("n_ca")) * 3).cast(WIDE).alias("w")
-    )
-    n = wide(F.col("n"))
-    loops = _loops(edges).select((n * n * n).cast(WIDE).alias("w"))
-    total = rotated.unionAll(loops).agg(wide_sum(F.col("w")).alias("closed_walks"))
+    copies = wide(F.col("n_ab")) * wide(F.col("n_bc")) * wide(F.col("n_ca"))
+    starts = F.when(F.col("a") == F.col("b"), 1).otherwise(3)
+    total = walks.agg(wide_sum(copies * starts).alias("closed_walks"))
     return total.select("closed_walks", third(F.col("closed_walks")).alias("triangles"))
 
 
@@ -229,21 +238,16 @@ def closed_walks(
     """
     walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    rotations = F.array(
+    once = F.array(F.struct(a.alias("x"), b.alias("y"), c.alias("z")))
+    thrice = F.array(
         F.struct(a.alias("x"), b.alias("y"), c.alias("z")),
         F.struct(b.alias("x"), c.alias("y"), a.alias("z")),
         F.struct(c.alias("x"), a.alias("y"), b.alias("z")),
     )
+    starts = F.when(a == b, once).otherwise(thrice)
     copies = (F.col("n_ab") * F.col("n_bc") * F.col("n_ca")).alias("_copies")
-    rotated = walks.select(F.explode(rotations).alias("walk"), copies).select("walk.*", "_copies")
-    v = F.col("follower")
-    loops = _loops(edges).select(
-        v.alias("x"),
-        v.alias("y"),
-        v.alias("z"),
-        (F.col("n") * F.col("n") * F.col("n")).alias("_copies"),
-    )
-    return repeat_rows(rotated.unionAll(loops), "_copies", spread=True)
+    rotated = walks.select(F.explode(starts).alias("walk"), copies).select("walk.*", "_copies")
+    return repeat_rows(rotated, "_copies", spread=True)
 
 
 def triangle_triples(edges: DataFrame, strategy: str = "shuffle", **limits: int) -> DataFrame:

@@ -25,17 +25,17 @@ def total_of(frame: DataFrame, weight: Column) -> Column:
 
 
 def is_hot(
-    weights: DataFrame,
     weight: Column,
+    total: Column,
     at_least: float,
     max_keys: int = MAX_HOT_KEYS,
 ) -> Column:
-    """Predicate on ``weights`` (one row per key): does the key need splitting?
+    """Does a key of this weight need splitting? For frames with one row per key.
 
-    True for keys of weight >= max(at_least, total / max_keys), at most
-    ``max_keys`` of them. The total is a scalar subquery; nothing is collected.
+    True for weights >= max(at_least, total / max_keys), which at most
+    ``max_keys`` keys can reach when ``total`` is the sum of the weights.
     """
-    bar = F.greatest(F.lit(float(at_least)), total_of(weights, weight) / F.lit(float(max_keys)))
+    bar = F.greatest(F.lit(float(at_least)), total / F.lit(float(max_keys)))
     return weight.cast("double") >= bar
 
 
