@@ -36,7 +36,7 @@ def adjacency(
     sizes = pairs.groupBy(F.col(key).alias("_hot")).agg(
         F.count_if(F.col("n") > 0).alias("_neighbours")
     )
-    total = total_of(pairs, F.when(F.col("n") > 0, 1))
+    total = total_of(sizes, F.col("_neighbours"))
     hot = sizes.where(is_hot(F.col("_neighbours"), total, page_size, max_paged)).select(
         "_hot", F.ceil(F.col("_neighbours") / F.lit(page_size)).cast("bigint").alias("_pages")
     )

@@ -12,7 +12,10 @@ from followgraph.operators.edges import check_endpoint, other_endpoint, where_mu
 
 Merge = Callable[[Column, Column], Column]
 
-SLICES = 64
+# Slices of every key. Shuffling uncombined rows needs many, so that a key with
+# a third of all rows is spread over a cluster; combined rows need only a few.
+GROUP_SLICES = 1024
+AGGREGATE_SLICES = 64
 
 
 def edge_count(edges: DataFrame) -> DataFrame:
@@ -25,7 +28,9 @@ def reduce_by_key(df: DataFrame, key: str, value: Column, out: str) -> DataFrame
     return df.groupBy(key).agg(F.sum(value).alias(out))
 
 
-def group_count_by_key(df: DataFrame, key: str, by: str, out: str, slices: int = SLICES) -> DataFrame:
+def group_count_by_key(
+    df: DataFrame, key: str, by: str, out: str, slices: int = GROUP_SLICES
+) -> DataFrame:
     """Size of each key's group after shuffling every row, without combining first.
 
     A group is shuffled in slices, chosen by the column ``by`` and by the task
@@ -43,7 +48,9 @@ def group_count_by_key(df: DataFrame, key: str, by: str, out: str, slices: int =
     )
 
 
-def fold_by_key(df: DataFrame, key: str, value: Column, zero: Column, merge: Merge, out: str) -> DataFrame:
+def fold_by_key(
+    df: DataFrame, key: str, value: Column, zero: Column, merge: Merge, out: str
+) -> DataFrame:
     """Fold of ``value`` per key with any associative, commutative ``merge``.
 
     ``zero`` must be neutral for ``merge``. As in a fold by key, each input
@@ -67,7 +74,7 @@ def aggregate_by_key(
     within: Column,
     across: Callable[[Column], Column],
     out: str,
-    slices: int = SLICES,
+    slices: int = AGGREGATE_SLICES,
 ) -> DataFrame:
     """Two-stage aggregation: ``within`` each slice of a key, then ``across`` slices.
 

@@ -45,22 +45,24 @@ def _ranks(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     nodes reach that, so the frame may be broadcast: at 5 * 10^12 edges it
     holds 3.2 million rows of three small columns.
     """
-    # n is read (it is always positive) so that this pass and the joins share
-    # the shuffle of collapse.
+    # Reading n, which is always positive, lets this pass and the joins share the
+    # shuffle of collapse. Reading both columns in the total does the same for
+    # the shuffle of nodes.
     ends = F.array(
         F.struct(F.col("follower").alias("node"), F.lit(True).alias("out")),
         F.struct(F.col("followee").alias("node"), F.lit(False).alias("out")),
     )
     nodes = (
         pairs.where(F.col("n") > 0)
-        .select(F.explode(ends).alias("end"))
-        .groupBy(F.col("end.node").alias("_node"))
+        .select(F.inline(ends).alias("_node", "_out"))
+        .where(F.col("_node").isNotNull())
+        .groupBy("_node")
         .agg(
             F.count(F.lit(1)).alias("_degree"),
-            (F.bool_or("end.out") & F.bool_or(~F.col("end.out"))).alias("_through"),
+            (F.bool_or("_out") & F.bool_or(~F.col("_out"))).alias("_through"),
         )
     )
-    total = total_of(pairs, F.when(F.col("n") > 0, 2))
+    total = total_of(nodes, F.when(F.col("_through").isNotNull(), F.col("_degree")))
     bar = F.least(F.sqrt(total), total / F.lit(float(ranked_nodes)))
     return nodes.where(F.col("_degree") >= bar)
 

@@ -17,7 +17,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .appName("followgraph-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "3")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")

@@ -9,7 +9,7 @@ import followgraph as fg
 from graphs import random_multigraph
 
 
-@pytest.fixture(scope="module", params=[11, 12])
+@pytest.fixture(scope="module", params=[11])
 def edges(frame, request):
     return frame(random_multigraph(request.param, nodes=25, edges=200)).cache()
 

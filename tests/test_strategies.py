@@ -12,7 +12,7 @@ import followgraph as fg
 from followgraph.operators import counts, paths, triangles
 from graphs import hub_graph, random_multigraph
 
-GRAPHS = {f"random{seed}": random_multigraph(seed) for seed in range(3)}
+GRAPHS = {f"random{seed}": random_multigraph(seed) for seed in range(2)}
 GRAPHS["hub"] = hub_graph()
 GRAPHS["loop"] = [(1, 1)] * 50 + [(1, 2), (2, 1), (2, 2)]
 
@@ -27,18 +27,18 @@ def pairs(request):
 
 
 @pytest.mark.parametrize("strategy", triangles.STRATEGIES)
-@pytest.mark.parametrize("ranked_nodes", [2, 1_000_000])
-def test_closed_walks(frame, pairs, strategy, ranked_nodes):
+def test_closed_walks(frame, pairs, strategy):
     want = brute.closed_walks(pairs)
     edges = frame(pairs)
-    got = fg.closed_walks(edges, strategy, ranked_nodes=ranked_nodes)
-    assert bag(got) == want
+    # Few nodes ranked by degree for the rows, all of them for the count.
+    assert bag(fg.closed_walks(edges, strategy, ranked_nodes=2)) == want
     total = want.total()
-    count = fg.triangle_count(edges, strategy, ranked_nodes=ranked_nodes)
+    count = fg.triangle_count(edges, strategy)
     assert [tuple(map(int, r)) for r in count.collect()] == [(total, total // 3)]
 
 
-def test_too_large_to_replicate(frame, pairs):
+def test_too_large_to_replicate(frame):
+    pairs = GRAPHS["hub"]
     total = brute.closed_walks(pairs).total()
     for strategy in ("broadcast", "adjacency"):
         row = fg.triangle_count(frame(pairs), strategy, max_broadcast=10).first()
@@ -50,7 +50,7 @@ def test_sliced_closing_edges(frame, pairs, monkeypatch):
     assert bag(fg.closed_walks(frame(pairs), "shuffle")) == brute.closed_walks(pairs)
 
 
-@pytest.mark.parametrize("cell_rows", [1, 3, 10_000])
+@pytest.mark.parametrize("cell_rows", [1, 10_000])
 def test_two_paths(frame, pairs, cell_rows):
     edges = frame(pairs)
     assert bag(fg.two_paths(edges, cell_rows=cell_rows)) == brute.two_paths(pairs)
