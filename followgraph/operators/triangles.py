@@ -26,7 +26,7 @@ from followgraph.functions.columns import (
 )
 from followgraph.operators.edges import collapse
 from followgraph.plans.sizing import BROADCAST_ROWS, fits_broadcast
-from followgraph.plans.skew import slices_for, total_of
+from followgraph.plans.skew import slices_for
 
 STRATEGIES = ("shuffle", "broadcast", "adjacency")
 
@@ -62,9 +62,9 @@ def _ranks(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
             (F.bool_or("_out") & F.bool_or(~F.col("_out"))).alias("_through"),
         )
     )
-    total = total_of(nodes, F.when(F.col("_through").isNotNull(), F.col("_degree")))
-    bar = F.least(F.sqrt(total), total / F.lit(float(ranked_nodes)))
-    return nodes.where(F.col("_degree") >= bar)
+    total = F.sum(F.when(F.col("_through").isNotNull(), F.col("_degree")).cast("double"))
+    bar = nodes.agg(F.least(F.sqrt(total), total / F.lit(float(ranked_nodes))).alias("bar"))
+    return nodes.where(F.col("_degree") >= bar.scalar())
 
 
 def _ranked(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
