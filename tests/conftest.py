@@ -20,6 +20,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        # Many short queries: light compilation is quicker than optimised code.
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -36,3 +36,8 @@ def hub_graph(leaves=60, copies=40):
     pairs += [(v, v + 1) for v in range(1, leaves - 1)]
     pairs += [(1, 2)] * copies
     return pairs
+
+
+def side_by_side(*graphs):
+    """One graph whose parts share no node, so that one query tests them all."""
+    return [(a + k * 10**15, b + k * 10**15) for k, g in enumerate(graphs) for a, b in g]

@@ -10,26 +10,28 @@ from pyspark.sql import functions as F
 import brute
 import followgraph as fg
 from followgraph.operators import counts, paths, triangles
-from graphs import hub_graph, random_multigraph
+from graphs import hub_graph, random_multigraph, side_by_side
 
-GRAPHS = {f"random{seed}": random_multigraph(seed) for seed in range(2)}
-GRAPHS["hub"] = hub_graph()
-GRAPHS["loop"] = [(1, 1)] * 50 + [(1, 2), (2, 1), (2, 2)]
+PAIRS = side_by_side(
+    random_multigraph(0),
+    random_multigraph(1),
+    hub_graph(),
+    [(1, 1)] * 50 + [(1, 2), (2, 1), (2, 2)],
+)
 
 
 def bag(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-@pytest.fixture(params=sorted(GRAPHS))
-def pairs(request):
-    return GRAPHS[request.param]
+@pytest.fixture(scope="module")
+def edges(frame):
+    return frame(PAIRS).cache()
 
 
 @pytest.mark.parametrize("strategy", triangles.STRATEGIES)
-def test_closed_walks(frame, pairs, strategy):
-    want = brute.closed_walks(pairs)
-    edges = frame(pairs)
+def test_closed_walks(edges, strategy):
+    want = brute.closed_walks(PAIRS)
     # Few nodes ranked by degree for the rows, all of them for the count.
     assert bag(fg.closed_walks(edges, strategy, ranked_nodes=2)) == want
     total = want.total()
@@ -37,64 +39,60 @@ def test_closed_walks(frame, pairs, strategy):
     assert [tuple(map(int, r)) for r in count.collect()] == [(total, total // 3)]
 
 
-def test_too_large_to_replicate(frame):
-    pairs = GRAPHS["hub"]
-    total = brute.closed_walks(pairs).total()
+def test_too_large_to_replicate(edges):
+    total = brute.closed_walks(PAIRS).total()
     for strategy in ("broadcast", "adjacency"):
-        row = fg.triangle_count(frame(pairs), strategy, max_broadcast=10).first()
+        row = fg.triangle_count(edges, strategy, max_broadcast=10).first()
         assert int(row.closed_walks) == total
 
 
-def test_sliced_closing_edges(frame, pairs, monkeypatch):
+def test_sliced_closing_edges(edges, monkeypatch):
     monkeypatch.setattr(triangles, "CLOSING_ROWS", 2)
-    assert bag(fg.closed_walks(frame(pairs), "shuffle")) == brute.closed_walks(pairs)
+    assert bag(fg.closed_walks(edges, "shuffle")) == brute.closed_walks(PAIRS)
 
 
 @pytest.mark.parametrize("cell_rows", [1, 10_000])
-def test_two_paths(frame, pairs, cell_rows):
-    edges = frame(pairs)
-    assert bag(fg.two_paths(edges, cell_rows=cell_rows)) == brute.two_paths(pairs)
+def test_two_paths(edges, cell_rows):
+    assert bag(fg.two_paths(edges, cell_rows=cell_rows)) == brute.two_paths(PAIRS)
 
 
-def test_few_hot_middles(frame, pairs):
-    got = fg.two_paths(frame(pairs), cell_rows=1, max_hot=2)
-    assert bag(got) == brute.two_paths(pairs)
+def test_few_hot_middles(edges):
+    got = fg.two_paths(edges, cell_rows=1, max_hot=2)
+    assert bag(got) == brute.two_paths(PAIRS)
 
 
 def test_hub_is_spread_over_cells(frame):
-    pairs = hub_graph()
-    hot = paths._hot_middles(fg.collapse(frame(pairs)), 5, 3).collect()
+    hot = paths._hot_middles(fg.collapse(frame(hub_graph())), 5, 3).collect()
     assert 0 in {r["_hot"] for r in hot} and len(hot) <= 6
     hub = next(r for r in hot if r["_hot"] == 0)
     assert hub["_ins"] == hub["_outs"] == 12
 
 
-def test_close_paths(frame, pairs):
-    edges = frame(pairs)
+def test_close_paths(edges):
     got = fg.close_paths(fg.two_paths(edges), edges)
-    assert bag(got) == brute.closed_walks(pairs)
+    assert bag(got) == brute.closed_walks(PAIRS)
 
 
 @pytest.mark.parametrize("endpoint", ["followee", "follower"])
-def test_follower_counts(frame, pairs, endpoint):
-    want = {k: v.total() for k, v in brute.neighbours(pairs, endpoint).items()}
+def test_follower_counts(edges, endpoint):
+    want = {k: v.total() for k, v in brute.neighbours(PAIRS, endpoint).items()}
     for strategy in counts.STRATEGIES:
-        got = fg.follower_count(frame(pairs), strategy, endpoint)
+        got = fg.follower_count(edges, strategy, endpoint)
         assert dict(map(tuple, got.collect())) == want, strategy
 
 
-def test_degrees(frame, pairs):
-    got = {r.node: (r.in_degree, r.out_degree) for r in fg.degrees(frame(pairs)).collect()}
-    assert got == brute.degrees(pairs)
+def test_degrees(edges):
+    got = {r.node: (r.in_degree, r.out_degree) for r in fg.degrees(edges).collect()}
+    assert got == brute.degrees(PAIRS)
 
 
 @pytest.mark.parametrize("endpoint", ["followee", "follower"])
 @pytest.mark.parametrize("page_size", [4, 10_000])
-def test_adjacency_pages(frame, pairs, endpoint, page_size):
-    want = brute.neighbours(pairs, endpoint)
+def test_adjacency_pages(edges, endpoint, page_size):
+    want = brute.neighbours(PAIRS, endpoint)
     got = {}
     pages = Counter()
-    for r in fg.adjacency(frame(pairs), endpoint, page_size).collect():
+    for r in fg.adjacency(edges, endpoint, page_size).collect():
         ids = [x.id for x in r.neighbours]
         assert ids == sorted(set(ids))
         assert r.n == sum(x.copies for x in r.neighbours)
@@ -108,24 +106,24 @@ def test_adjacency_pages(frame, pairs, endpoint, page_size):
         assert max(pages.values()) > 1 or max(map(len, want.values())) <= page_size
 
 
-def test_fold_with_another_merge(frame, pairs):
+def test_fold_with_another_merge(edges):
     lowest = fg.fold_by_key(
-        frame(pairs),
+        edges,
         "followee",
         F.col("follower"),
         F.lit(2**62).cast("bigint"),
         lambda a, b: F.least(a, b),
         "lowest",
     )
-    want = {k: min(v) for k, v in brute.neighbours(pairs, "followee").items()}
+    want = {k: min(v) for k, v in brute.neighbours(PAIRS, "followee").items()}
     assert dict(map(tuple, lowest.collect())) == want
 
 
-def test_aggregate_with_other_steps(frame, pairs):
+def test_aggregate_with_other_steps(edges):
     highest = fg.aggregate_by_key(
-        frame(pairs), "followee", "follower", F.max("follower"), F.max, "highest", slices=3
+        edges, "followee", "follower", F.max("follower"), F.max, "highest", slices=3
     )
-    want = {k: max(v) for k, v in brute.neighbours(pairs, "followee").items()}
+    want = {k: max(v) for k, v in brute.neighbours(PAIRS, "followee").items()}
     assert dict(map(tuple, highest.collect())) == want
 
 
