@@ -1,9 +1,12 @@
-"""Column expressions shared by the operators."""
+"""SQL expressions shared by the operators.
+
+The helpers take and return expression text for ``selectExpr`` and ``F.expr``:
+a plan is then built with one call per step instead of one per operator.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # Exact counts can pass 2^63 (in-degree x out-degree of one hub, the cube of a
 # repeated self-loop), so totals are decimals with room for 38 digits.
@@ -19,45 +22,40 @@ PAGE_MULTIPLIER = 2654435761
 PAGE_DIVISOR = 65536
 
 
-def wide(value: Column) -> Column:
-    """A bigint widened so that products of two of them cannot overflow."""
-    return value.cast("decimal(19,0)")
+def wide_product(*factors: str) -> str:
+    """Product of bigints that cannot wrap: exact up to 38 digits, else an error."""
+    return " * ".join(f"cast({f} as decimal(19,0))" for f in factors)
 
 
-def wide_sum(value: Column) -> Column:
+def wide_sum(value: str) -> str:
     """Exact sum, 0 for no rows."""
-    return F.coalesce(F.sum(value), F.lit(0)).cast(WIDE)
-
-
-def div(dividend: Column, divisor: Column) -> Column:
-    """Integer division of bigints, without a detour through doubles."""
-    return F.call_function("div", dividend, divisor)
+    return f"cast(coalesce(sum({value}), 0) as {WIDE})"
 
 
-def third(value: Column) -> Column:
+def third(value: str) -> str:
     """Floor division by three of a non-negative wide integer."""
-    return ((value - value % 3) / 3).cast(WIDE)
+    return f"cast(({value} - {value} % 3) / 3 as {WIDE})"
 
 
-def slice_of(slices: Column, *by: Column) -> Column:
+def slice_of(slices: int | str, *by: str) -> str:
     """Slice in [0, slices) that depends on nothing but the values in ``by``."""
-    return F.pmod(F.xxhash64(*by), slices)
+    return f"pmod(xxhash64({', '.join(by)}), {slices})"
 
 
-def page_of(neighbour: Column, pages: Column) -> Column:
+def page_of(neighbour: str, pages: str) -> str:
     """Page in [0, pages) of a neighbour in a paged adjacency list."""
-    spread = F.pmod(neighbour, F.lit(PAGE_MODULUS)) * F.lit(PAGE_MULTIPLIER)
-    return F.pmod(div(spread, F.lit(PAGE_DIVISOR)), pages)
+    spread = f"pmod({neighbour}, {PAGE_MODULUS}L) * {PAGE_MULTIPLIER}L"
+    return f"pmod(({spread}) div {PAGE_DIVISOR}L, {pages})"
 
 
-def each(count: Column) -> Column:
+def each(count: str) -> str:
     """Generator of 0 .. count - 1; ``count`` must be at least 1."""
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1))
+    return f"explode(sequence(0L, {count} - 1L))"
 
 
-def share_of(total: Column, part: Column, parts: Column) -> Column:
+def share_of(total: str, part: str, parts: str) -> str:
     """Size of share ``part`` when ``total`` copies are cut into ``parts``."""
-    return div(total, parts) + F.when(part < total % parts, 1).otherwise(0)
+    return f"{total} div {parts} + if({part} < {total} % {parts}, 1L, 0L)"
 
 
 def repeat_rows(df: DataFrame, copies: str, spread: bool = False) -> DataFrame:
@@ -67,12 +65,11 @@ def repeat_rows(df: DataFrame, copies: str, spread: bool = False) -> DataFrame:
     With ``spread`` the blocks are dealt out to all tasks first, so one row
     with very many copies does not end up in a single task.
     """
+    size = COPIES_PER_BLOCK
     kept = [c for c in df.columns if c != copies]
-    blocks = df.withColumn("_block", each(div(F.col(copies) - 1, F.lit(COPIES_PER_BLOCK)) + 1))
+    blocks = df.selectExpr("*", each(f"(({copies} - 1) div {size}L + 1)") + " AS _block")
     if spread:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = blocks.repartition(parts, *kept, "_block")
-    size = F.least(
-        F.lit(COPIES_PER_BLOCK), F.col(copies) - F.col("_block") * F.lit(COPIES_PER_BLOCK)
-    )
-    return blocks.withColumn("_copy", each(size)).select(*kept)
+    rest = f"least({size}L, {copies} - _block * {size}L)"
+    return blocks.selectExpr(*kept, each(rest) + " AS _copy").drop("_copy")

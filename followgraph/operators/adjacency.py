@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from followgraph.functions.columns import page_of
 from followgraph.operators.edges import check_endpoint, collapse, other_endpoint
-from followgraph.plans.skew import is_hot, total_of
+from followgraph.plans.skew import is_hot
 
 PAGE_SIZE = 10_000
 MAX_PAGED_NODES = 1_000_000
@@ -34,21 +34,19 @@ def adjacency(
     # n is read (it is always positive) so that this pass and the main one
     # share the shuffle of collapse.
     sizes = pairs.groupBy(F.col(key).alias("_hot")).agg(
-        F.count_if(F.col("n") > 0).alias("_neighbours")
+        F.expr("count_if(n > 0) AS _neighbours")
     )
-    total = total_of(sizes, F.col("_neighbours"))
-    hot = sizes.where(is_hot(F.col("_neighbours"), total, page_size, max_paged)).select(
-        "_hot", F.ceil(F.col("_neighbours") / F.lit(page_size)).cast("bigint").alias("_pages")
+    hot = sizes.where(is_hot(sizes, "_neighbours", page_size, max_paged)).selectExpr(
+        "_hot", f"ceil(_neighbours / {page_size}L) AS _pages"
     )
-    one = F.lit(1).cast("bigint")
-    paged = pairs.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").select(
+    paged = pairs.join(F.broadcast(hot), F.expr(f"{key} = _hot"), "left").selectExpr(
         key,
-        page_of(F.col(other), F.coalesce("_pages", one)).alias("page"),
-        F.struct(F.col(other).alias("id"), F.col("n").alias("copies")).alias("entry"),
+        f"{page_of(other, 'coalesce(_pages, 1L)')} AS page",
+        f"struct({other} AS id, n AS copies) AS entry",
     )
     return paged.groupBy(key, "page").agg(
-        F.array_sort(F.collect_list("entry")).alias("neighbours"),
-        F.sum("entry.copies").alias("n"),
+        F.expr("array_sort(collect_list(entry)) AS neighbours"),
+        F.expr("sum(entry.copies) AS n"),
     )
 
 

@@ -37,9 +37,9 @@ def group_count_by_key(
     that read the row, and is counted as it streams by: no group is collected,
     and neither a hot key nor copies of a single row meet in one task.
     """
-    part = slice_of(F.lit(slices), F.col(by), F.spark_partition_id())
+    part = slice_of(slices, by, "spark_partition_id()")
     return (
-        df.select(key, part.alias("_slice"))
+        df.selectExpr(key, f"{part} AS _slice")
         .repartition(key, "_slice")
         .groupBy(key, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -80,9 +80,8 @@ def aggregate_by_key(
 
     Slices come from the values of ``by``, so reruns of a task agree.
     """
-    part = slice_of(F.lit(slices), F.col(by))
     return (
-        df.withColumn("_slice", part)
+        df.selectExpr("*", f"{slice_of(slices, by)} AS _slice")
         .groupBy(key, "_slice")
         .agg(within.alias("_partial"))
         .groupBy(key)

@@ -12,16 +12,15 @@ join: its edges are looked up from their other ends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from followgraph.functions.columns import (
-    WIDE,
     each,
     repeat_rows,
     slice_of,
     third,
-    wide,
+    wide_product,
     wide_sum,
 )
 from followgraph.operators.edges import collapse
@@ -36,6 +35,13 @@ RANKED_NODES = 1_000_000
 # Walks that may meet at one closing edge before it is replicated to slices.
 CLOSING_ROWS = 100_000
 
+# The source of an edge, which is no self-loop, ranks below its target.
+UPWARD = """(follower_rank < followee_rank
+    OR (follower_rank = followee_rank AND follower < followee))"""
+
+# A self-loop a -> b starts the walk around itself only.
+ONE_ROTATION = "a != b OR a = c"
+
 
 def _ranks(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     """Degrees of the high-degree nodes, and whether a cycle can visit them.
@@ -48,22 +54,19 @@ def _ranks(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     # Reading n, which is always positive, lets this pass and the joins share the
     # shuffle of collapse. Reading both columns in the total does the same for
     # the shuffle of nodes.
-    ends = F.array(
-        F.struct(F.col("follower").alias("node"), F.lit(True).alias("out")),
-        F.struct(F.col("followee").alias("node"), F.lit(False).alias("out")),
-    )
+    ends = "array(struct(follower AS _node, true AS _out), struct(followee AS _node, false AS _out))"
     nodes = (
-        pairs.where(F.col("n") > 0)
-        .select(F.inline(ends).alias("_node", "_out"))
-        .where(F.col("_node").isNotNull())
+        pairs.where("n > 0")
+        .selectExpr(f"inline({ends})")
+        .where("_node IS NOT NULL")
         .groupBy("_node")
         .agg(
-            F.count(F.lit(1)).alias("_degree"),
-            (F.bool_or("_out") & F.bool_or(~F.col("_out"))).alias("_through"),
+            F.expr("count(1) AS _degree"),
+            F.expr("bool_or(_out) AND bool_or(NOT _out) AS _through"),
         )
     )
-    total = F.sum(F.when(F.col("_through").isNotNull(), F.col("_degree")).cast("double"))
-    bar = nodes.agg(F.least(F.sqrt(total), total / F.lit(float(ranked_nodes))).alias("bar"))
+    total = "sum(cast(if(_through IS NOT NULL, _degree, NULL) as double))"
+    bar = nodes.selectExpr(f"least(sqrt({total}), {total} / {float(ranked_nodes)}D) AS bar")
     return nodes.where(F.col("_degree") >= bar.scalar())
 
 
@@ -77,77 +80,54 @@ def _ranked(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
 
     def end(name: str) -> DataFrame:
         return F.broadcast(
-            ranks.select(
-                F.col("_node").alias(f"_{name}"),
-                F.col("_degree").alias(f"{name}_rank"),
-                F.col("_through").alias(f"{name}_through"),
+            ranks.selectExpr(
+                f"_node AS _{name}", f"_degree AS {name}_rank", f"_through AS {name}_through"
             )
         )
 
     return (
-        pairs.join(end("follower"), F.col("follower") == F.col("_follower"), "left")
-        .join(end("followee"), F.col("followee") == F.col("_followee"), "left")
-        .where(
-            F.coalesce("follower_through", F.lit(True))
-            & F.coalesce("followee_through", F.lit(True))
-        )
-        .select(
+        pairs.join(end("follower"), F.expr("follower = _follower"), "left")
+        .join(end("followee"), F.expr("followee = _followee"), "left")
+        .where("coalesce(follower_through, true) AND coalesce(followee_through, true)")
+        .selectExpr(
             "follower",
             "followee",
             "n",
-            F.coalesce("follower_rank", F.lit(0)).alias("follower_rank"),
-            F.coalesce("followee_rank", F.lit(0)).alias("followee_rank"),
+            "coalesce(follower_rank, 0L) AS follower_rank",
+            "coalesce(followee_rank, 0L) AS followee_rank",
         )
     )
 
 
-def _upward() -> Column:
-    """The source of an edge, which is no self-loop, ranks below its target."""
-    lower, higher = F.col("follower_rank"), F.col("followee_rank")
-    return (lower < higher) | ((lower == higher) & (F.col("follower") < F.col("followee")))
-
-
 def _legs(pairs: DataFrame, ranked_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The roles of an edge in a walk: a -> b (up), c -> a (down), b -> c (any).
 
     A self-loop can take every role.
     """
     ranked = _ranked(pairs, ranked_nodes)
-    loop = F.col("follower") == F.col("followee")
-    first = ranked.where(_upward() | loop).select(
-        F.col("follower").alias("a"),
-        F.col("followee").alias("b"),
-        F.col("n").alias("n_ab"),
-        F.col("followee_rank").alias("b_rank"),
+    first = ranked.where(f"{UPWARD} OR follower = followee").selectExpr(
+        "follower AS a", "followee AS b", "n AS n_ab", "followee_rank AS b_rank"
     )
-    last = ranked.where(~_upward()).select(
-        F.col("followee").alias("a"),
-        F.col("follower").alias("c"),
-        F.col("n").alias("n_ca"),
-        F.col("follower_rank").alias("c_rank"),
+    last = ranked.where(f"NOT {UPWARD}").selectExpr(
+        "followee AS a", "follower AS c", "n AS n_ca", "follower_rank AS c_rank"
     )
-    middle = ranked.select(
-        F.col("follower").alias("b"),
-        F.col("followee").alias("c"),
-        F.col("n").alias("n_bc"),
-        F.col("follower_rank").alias("b_rank"),
-        F.col("followee_rank").alias("c_rank"),
+    middle = ranked.selectExpr(
+        "follower AS b",
+        "followee AS c",
+        "n AS n_bc",
+        "follower_rank AS b_rank",
+        "followee_rank AS c_rank",
     )
     return first, last, middle
 
 
-def _one_rotation() -> Column:
-    """Join condition: a self-loop a -> b starts the walk around itself only."""
-    return (F.col("a") != F.col("b")) | (F.col("a") == F.col("c"))
-
-
-def _fan() -> Column:
+def _fan() -> str:
     """Slices of a closing edge b -> c.
 
     The walks it closes start at common neighbours, so they are no more than
     the smaller degree of its ends: only an edge between two hubs is sliced.
     """
-    return slices_for(F.least("b_rank", "c_rank"), CLOSING_ROWS)
+    return slices_for("least(b_rank, c_rank)", CLOSING_ROWS)
 
 
 def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
@@ -160,39 +140,36 @@ def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     first, last, middle = _legs(pairs, ranked_nodes)
     wedges = (
         first.join(last.hint("merge"), "a")
-        .where(_one_rotation())
-        .select("a", "b", "c", "n_ab", "n_ca", slice_of(_fan(), F.col("a")).alias("_slice"))
+        .where(ONE_ROTATION)
+        .selectExpr("a", "b", "c", "n_ab", "n_ca", f"{slice_of(_fan(), 'a')} AS _slice")
     )
-    closing = middle.select("b", "c", "n_bc", each(_fan()).alias("_slice"))
+    closing = middle.selectExpr("b", "c", "n_bc", f"{each(_fan())} AS _slice")
     return wedges.join(closing.hint("merge"), ["b", "c", "_slice"])
 
 
 def _by_broadcast(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     """The same two joins, with the edges replicated to every task."""
     first, last, middle = _legs(pairs, ranked_nodes)
-    wedges = first.drop("b_rank").join(F.broadcast(last.drop("c_rank")), "a").where(
-        _one_rotation()
-    )
-    return wedges.join(F.broadcast(middle.drop("b_rank", "c_rank")), ["b", "c"])
+    wedges = first.drop("b_rank").join(F.broadcast(last.drop("c_rank")), "a")
+    closing = F.broadcast(middle.drop("b_rank", "c_rank"))
+    return wedges.where(ONE_ROTATION).join(closing, ["b", "c"])
 
 
 def _by_adjacency(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     """Neighbour lists replicated to every task; a and b look up a common c."""
     first, last, middle = _legs(pairs, ranked_nodes)
     into_a = last.groupBy("a").agg(
-        F.map_from_entries(F.collect_list(F.struct("c", "n_ca"))).alias("into_a")
+        F.expr("map_from_entries(collect_list(struct(c, n_ca))) AS into_a")
     )
     out_of_b = middle.groupBy("b").agg(
-        F.map_from_entries(F.collect_list(F.struct("c", "n_bc"))).alias("out_of_b")
+        F.expr("map_from_entries(collect_list(struct(c, n_bc))) AS out_of_b")
     )
-    common = F.array_intersect(F.map_keys("into_a"), F.map_keys("out_of_b"))
     return (
         first.join(F.broadcast(into_a), "a")
         .join(F.broadcast(out_of_b), "b")
-        .select("*", F.explode(common).alias("c"))
-        .where(_one_rotation())
-        .withColumn("n_ca", F.col("into_a")[F.col("c")])
-        .withColumn("n_bc", F.col("out_of_b")[F.col("c")])
+        .selectExpr("*", "explode(array_intersect(map_keys(into_a), map_keys(out_of_b))) AS c")
+        .where(ONE_ROTATION)
+        .selectExpr("a", "b", "c", "n_ab", "out_of_b[c] AS n_bc", "into_a[c] AS n_ca")
     )
 
 
@@ -222,10 +199,11 @@ def triangle_count(
     plan when there are more than ``max_broadcast``. The answer is the same.
     """
     walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
-    copies = wide(F.col("n_ab")) * wide(F.col("n_bc")) * wide(F.col("n_ca"))
-    starts = F.when(F.col("a") == F.col("b"), 1).otherwise(3)
-    total = walks.agg(wide_sum(copies * starts).alias("closed_walks"))
-    return total.select("closed_walks", third(F.col("closed_walks")).alias("triangles"))
+    copies = wide_product("n_ab", "n_bc", "n_ca")
+    total = wide_sum(f"{copies} * if(a = b, 1, 3)")
+    return walks.selectExpr(f"{total} AS closed_walks").selectExpr(
+        "closed_walks", f"{third('closed_walks')} AS triangles"
+    )
 
 
 def closed_walks(
@@ -239,43 +217,35 @@ def closed_walks(
     A walk appears once per combination of copies of its edges.
     """
     walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    once = F.array(F.struct(a.alias("x"), b.alias("y"), c.alias("z")))
-    thrice = F.array(
-        F.struct(a.alias("x"), b.alias("y"), c.alias("z")),
-        F.struct(b.alias("x"), c.alias("y"), a.alias("z")),
-        F.struct(c.alias("x"), a.alias("y"), b.alias("z")),
+    starts = [
+        f"named_struct('x', {x}, 'y', {y}, 'z', {z})"
+        for x, y, z in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))
+    ]
+    rotated = walks.selectExpr(
+        f"inline(if(a = b, array({starts[0]}), array({', '.join(starts)})))",
+        "n_ab * n_bc * n_ca AS _copies",
     )
-    starts = F.when(a == b, once).otherwise(thrice)
-    copies = (F.col("n_ab") * F.col("n_bc") * F.col("n_ca")).alias("_copies")
-    rotated = walks.select(F.explode(starts).alias("walk"), copies).select("walk.*", "_copies")
     return repeat_rows(rotated, "_copies", spread=True)
 
 
 def triangle_triples(edges: DataFrame, strategy: str = "shuffle", **limits: int) -> DataFrame:
     """Closed walks as (follower, intermediate, followee)."""
-    return closed_walks(edges, strategy, **limits).select(
-        F.col("x").alias("follower"),
-        F.col("y").alias("intermediate"),
-        F.col("z").alias("followee"),
+    return closed_walks(edges, strategy, **limits).selectExpr(
+        "x AS follower", "y AS intermediate", "z AS followee"
     )
 
 
-def _path_text(*ids: str) -> Column:
-    return F.concat_ws(",", *[F.col(i).cast("string") for i in ids])
-
-
 def triangle_edges(edges: DataFrame, strategy: str = "shuffle", **limits: int) -> DataFrame:
     """Closed walks as their three edges, each as text ``a,b``."""
-    return closed_walks(edges, strategy, **limits).select(
-        _path_text("z", "x").alias("closing"),
-        _path_text("x", "y").alias("first_hop"),
-        _path_text("y", "z").alias("second_hop"),
+    return closed_walks(edges, strategy, **limits).selectExpr(
+        "concat_ws(',', z, x) AS closing",
+        "concat_ws(',', x, y) AS first_hop",
+        "concat_ws(',', y, z) AS second_hop",
     )
 
 
 def triangle_walks(edges: DataFrame, strategy: str = "broadcast", **limits: int) -> DataFrame:
     """Closed walks as start node and text ``x,y,z,x``."""
-    return closed_walks(edges, strategy, **limits).select(
-        F.col("x").alias("src"), _path_text("x", "y", "z", "x").alias("walk")
+    return closed_walks(edges, strategy, **limits).selectExpr(
+        "x AS src", "concat_ws(',', x, y, z, x) AS walk"
     )

@@ -19,27 +19,23 @@ MAX_HOT_KEYS = 100_000
 MAX_SLICES = 256
 
 
-def total_of(frame: DataFrame, weight: Column) -> Column:
-    """Sum of a weight over a frame, as a scalar subquery of the same plan."""
-    return frame.agg(F.coalesce(F.sum(weight.cast("double")), F.lit(0.0)).alias("total")).scalar()
-
-
 def is_hot(
-    weight: Column,
-    total: Column,
+    weights: DataFrame,
+    weight: str,
     at_least: float,
     max_keys: int = MAX_HOT_KEYS,
 ) -> Column:
-    """Does a key of this weight need splitting? For frames with one row per key.
+    """Predicate on ``weights``, a frame with one row per key: split this key?
 
     True for weights >= max(at_least, total / max_keys), which at most
-    ``max_keys`` keys can reach when ``total`` is the sum of the weights.
+    ``max_keys`` keys can reach. The total is a scalar subquery of the same
+    plan, so nothing is collected.
     """
-    bar = F.greatest(F.lit(float(at_least)), total / F.lit(float(max_keys)))
-    return weight.cast("double") >= bar
+    share = f"coalesce(sum(cast({weight} as double)), 0D) / {float(max_keys)}D"
+    bar = weights.selectExpr(f"greatest({float(at_least)}D, {share}) AS bar")
+    return F.expr(f"cast({weight} as double)") >= bar.scalar()
 
 
-def slices_for(rows: Column, rows_per_slice: int) -> Column:
+def slices_for(rows: str, rows_per_slice: int) -> str:
     """How many slices to cut ``rows`` into, between 1 and MAX_SLICES."""
-    wanted = F.ceil(rows / F.lit(rows_per_slice)).cast("bigint")
-    return F.greatest(F.lit(1), F.least(F.lit(MAX_SLICES), wanted)).cast("bigint")
+    return f"greatest(1L, least({MAX_SLICES}L, ceil({rows} / {rows_per_slice}L)))"
