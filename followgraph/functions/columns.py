@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from followgraph.plans.sizing import deal_out
+
 # Exact counts can pass 2^63 (in-degree x out-degree of one hub, the cube of a
 # repeated self-loop), so totals are decimals with room for 38 digits.
 WIDE = "decimal(38,0)"
@@ -69,7 +71,6 @@ def repeat_rows(df: DataFrame, copies: str, spread: bool = False) -> DataFrame:
     kept = [c for c in df.columns if c != copies]
     blocks = df.selectExpr("*", each(f"(({copies} - 1) div {size}L + 1)") + " AS _block")
     if spread:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = blocks.repartition(parts, *kept, "_block")
+        blocks = deal_out(blocks, *kept, "_block")
     rest = f"least({size}L, {copies} - _block * {size}L)"
     return blocks.selectExpr(*kept, each(rest) + " AS _copy").drop("_copy")

@@ -1,4 +1,4 @@
-"""Size check that stands before every replicated join."""
+"""Sizes: the check before every replicated join, and the number of partitions."""
 
 from __future__ import annotations
 
@@ -12,3 +12,12 @@ BROADCAST_ROWS = 1_000_000
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows. Runs one count."""
     return df.count() <= max_rows
+
+
+def deal_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning by ``keys`` into exactly the session's shuffle partitions.
+
+    For steps whose output is far larger than their input: adaptive execution
+    merges partitions by input size, and would put such a step into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -115,6 +115,11 @@ def test_hot_paths_reach_many_tasks(edges):
     assert cells.agg(F.max("count")).first()[0] <= 25
 
 
+def test_path_join_is_not_merged_into_few_tasks(edges):
+    """Adaptive execution leaves shuffles of a stated number of partitions alone."""
+    assert plan(fg.two_paths(edges)).count("REPARTITION_BY_NUM") == 2
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_registered_plans(spark, name):
