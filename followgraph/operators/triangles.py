@@ -6,8 +6,8 @@ nodes, except a walk around one self-loop; triangles = closed walks div 3.
 
 Each strategy finds one rotation of every walk, the one whose first node ``a``
 ranks lowest (rank(a) < rank(b) and rank(a) <= rank(c), or a = b = c), and
-derives the rest. Nodes are ranked by degree, then id, so that a hub is never the middle of the
-join: its edges are looked up from their other ends.
+derives the rest. Nodes are ranked by degree, then id, so that a hub is never
+the middle of the join: its edges are looked up from their other ends.
 """
 
 from __future__ import annotations
