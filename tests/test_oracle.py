@@ -29,10 +29,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract._graph_queries()) == set(contract._graph_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract._graph_queries()))
 def test_query_matches_sql(spark, con, name):
     got = contract.queries()[name](spark, str(FOLDER))
     cursor = con.execute(contract.oracle_sql()[name])
