@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from followgraph.llm import bpe, chat
 from followgraph.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +23,38 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encoded(documents, path, public_tokenizers.PATTERN).drop("ids")
+
+
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    probe = spark.range(1).selectExpr(
+        f"inline(array((-7L, 0L, 'user', r'{text}'), (-7L, 1L, 'assistant', r'{text}'))) AS (conv_id, turn, role, text)"
+    )
+    return chat.digests(chat.formatted(turns.unionAll(probe)))
+
+
+CHAT_SQL = r"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+    length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/')) AS body,
+    length(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</', '<\/')) AS head
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(body + CASE WHEN before IS NULL OR before <> role THEN head + 12 ELSE 0 END
+    + CASE WHEN after IS NULL OR after <> role THEN 8 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
 NEAR_DEDUP_SQL = r"""WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -43,9 +79,9 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {"op9_near_dedup": op9_near_dedup}
+    return {f.__name__: f for f in (op4_bpe, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL, where SQL can express them."""
-    return {"op9_near_dedup": NEAR_DEDUP_SQL}
+    return {"op9_near_dedup": NEAR_DEDUP_SQL, "op10_chat": CHAT_SQL}
