@@ -125,9 +125,43 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return met.where(f"100L * both >= {percent}L * (x + y - both)").select("a", "b").distinct()
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    return pairs.where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
+def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that span several components, with the bucket's largest component."""
+    placed = members.join(classes, F.col("doc_id") == F.col("node"), "left").selectExpr(
+        "bucket", "m", "doc_id", "n", "at", "coalesce(component, doc_id) AS component"
+    )
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    most = (
+        parts.groupBy("bucket")
+        .agg(F.count("*").alias("classes"), F.max(F.struct("size", "component")).alias("top"))
+        .where("classes > 1")
+        .selectExpr("bucket", "top.component AS largest")
+    )
+    return placed.join(most, "bucket")
+
+
+def _stars(classes: DataFrame) -> DataFrame:
+    return classes.selectExpr("node AS a", "component AS b")
+
+
+def _prefixes(grams: DataFrame, percent: int) -> DataFrame:
+    """(bucket, m, doc_id, n, at): the shingles by which similar sets must meet.
+
+    With the shingles of all sets in one order, rarest first, two sets of the
+    required similarity share one among the first n - ceil(t * n) + 1 of each.
+    ``at`` is its place from 0; ``m`` the number of sets that hold it at all.
+    """
+    each = grams.select("doc_id", F.size("grams").cast("bigint").alias("n"), F.explode("grams").alias("bucket"))
+    known = each.groupBy("bucket").agg(F.count("*").alias("m"))
+    ordered = (
+        each.join(known, "bucket")
+        .groupBy("doc_id", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("m", "bucket"))).alias("grams"))
+    )
+    first = F.expr(f"slice(grams, 1, cast(n - ({percent}L * n + 99L) div 100L + 1L AS int))")
+    return ordered.select("doc_id", "n", F.posexplode(first).alias("at", "gram")).selectExpr(
+        "doc_id", "n", "at", "gram.m", "gram.bucket"
+    ).where("m > 1")
 
 
 def near_duplicates(
@@ -141,12 +175,13 @@ def near_duplicates(
 
     1. Every text becomes a circulant MinHash signature; equal sets become one
        node, so copies cost no pairs.
-    2. Nodes that share a band meet in a bucket. Each is checked against the
-       bucket's leader, its smallest node: as many pairs as members.
-    3. In buckets that are still in several components, all pairs across
-       components are checked, except within the largest one, so no link that
-       a bucket shows is lost and a large group of near copies is not squared.
-       Members are dealt by salts of their bucket.
+    2. Nodes that share a band meet in a bucket. Each is checked against a
+       leader that the bucket draws: as many pairs as members. Buckets draw
+       differently, so a group of near copies has many leaders.
+    3. Members of buckets that still span several components are compared
+       exactly: by the rarest shingles of each set, one of which similar sets
+       must share, and only across components. So no link that a bucket shows
+       is lost, and a large group of copies is not squared.
 
     Sets are compared as full sets of 64-bit hashes, once per candidate pair.
     A null text is empty; an empty text has n_shingles 0 and is its own
@@ -166,62 +201,51 @@ def near_duplicates(
     rows = nodes.select(F.explode("bands").alias("bucket"), "doc_id", "n")
     shared = (
         rows.groupBy("bucket")
-        .agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("leader"))
+        .agg(F.count("*").alias("m"), F.expr("min(struct(xxhash64(bucket, doc_id) AS draw, doc_id, n)) AS head"))
         .where("m > 1")
     )
     members = stored(
-        rows.join(shared, "bucket").select(
-            "bucket", "m", "doc_id", "n", F.col("leader.doc_id").alias("head"), F.col("leader.n").alias("head_n")
-        )
+        rows.join(shared, "bucket").selectExpr("bucket", "m", "doc_id", "n", "head.doc_id AS head", "head.n AS head_n")
     )
     ids = members.select("doc_id").distinct()
     grams = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, grams array<bigint>"))
 
-    def salted(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs, and the share of the leader's bucket that each is dealt to."""
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs (a, n_a, b, n_b, m), each pair checked once.
+
+        A pair is dealt to one of the shares of the largest bucket it comes from.
+        """
         slot = F.expr(f"pmod(xxhash64(a), (max(m) + {salt_rows - 1}L) div {salt_rows}L)")
-        return pairs.groupBy("a", "b").agg(slot.alias("salt"))
+        sized = pairs.where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
+        return stored(_verified(stored(sized.groupBy("a", "b").agg(slot.alias("salt"))), grams, percent))
 
-    stars = members.where("doc_id != head").select(
-        F.col("doc_id").alias("a"), F.col("head").alias("b"), F.col("n").alias("n_a"), F.col("head_n").alias("n_b"), "m"
+    stars = members.where("doc_id != head").selectExpr(
+        "doc_id AS a", "n AS n_a", "head AS b", "head_n AS n_b", "m"
     )
-    tried = stored(salted(_sized(stars, percent)))
-    links = stored(_verified(tried, grams, percent))
-    classes = stored(components(links))
-
-    placed = members.join(classes, F.col("doc_id") == F.col("node"), "left").select(
-        "bucket", "m", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+    classes = stored(components(checked(stars)))
+    unsettled = _open(members.withColumn("at", F.lit(0)), classes).select("doc_id").distinct()
+    rest = grams.join(unsettled, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rare = stored(_open(_prefixes(rest, percent), classes))
+    left = rare.where("component != largest").selectExpr(
+        "bucket", "doc_id AS a", "n AS n_a", "at AS at_a", "component AS c_a"
     )
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    most = (
-        parts.groupBy("bucket")
-        .agg(F.count("*").alias("classes"), F.max(F.struct("size", F.negative("component").alias("c"))).alias("top"))
-        .where("classes > 1")
-        .select("bucket", F.negative("top.c").alias("largest"))
-    )
-    open_rows = stored(placed.join(most, "bucket"))
-    left = open_rows.where("component != largest").select(
-        "bucket", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), "m"
-    )
-    right = open_rows.select(
+    right = rare.selectExpr(
         "bucket",
-        F.col("doc_id").alias("b"),
-        F.col("n").alias("n_b"),
-        F.col("component").alias("c_b"),
-        F.expr("component != largest").alias("outside"),
-    )
-    across = left.join(right, "bucket").where("c_a != c_b AND (NOT outside OR a > b)")
-    rest = salted(_sized(across, percent))
-    done = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    rest = rest.join(done, F.expr("(a = x AND b = y)"), "left_anti").join(
-        done, F.expr("(a = y AND b = x)"), "left_anti"
+        "m",
+        "doc_id AS b",
+        "n AS n_b",
+        "at AS at_b",
+        "component AS c_b",
+        "component != largest AS outside",
     )
-    late = stored(_verified(stored(rest), grams, percent))
+    # At the first shingle that a pair shares, enough must be left for the required overlap.
+    enough = f"{100 + percent}L * least(n_a - at_a, n_b - at_b) >= {percent}L * (n_a + n_b)"
+    across = left.join(right, "bucket").where(f"c_a != c_b AND (NOT outside OR a > b) AND {enough}")
+    late = checked(across.drop("bucket"))
     twins = linked.join(
         nodes.select("k1", "k2", "n", F.col("doc_id").alias("b")), ["k1", "k2", "n"]
     ).select(F.col("doc_id").alias("a"), "b")
-    all_links = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)
-    final = components(all_links.unionAll(twins.where("a != b")))
+    final = components(_stars(classes).unionAll(late).unionAll(twins.where("a != b")))
     return sketches.join(final, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
