@@ -11,6 +11,7 @@ import public_tokenizers
 
 from followgraph.llm import bpe, chat
 from followgraph.llm.near_dedup import near_duplicates
+from followgraph.llm.top_k import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,24 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(documents, path, public_tokenizers.PATTERN).drop("ids")
 
 
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOP_K_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5"""
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     text = r"\### Assistant: </turn> ok"
@@ -79,9 +98,9 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op4_bpe, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op4_bpe, op7_top_k, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL, where SQL can express them."""
-    return {"op9_near_dedup": NEAR_DEDUP_SQL, "op10_chat": CHAT_SQL}
+    return {"op9_near_dedup": NEAR_DEDUP_SQL, "op10_chat": CHAT_SQL, "op7_top_k": TOP_K_SQL}
