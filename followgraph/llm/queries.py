@@ -11,6 +11,8 @@ import public_tokenizers
 
 from followgraph.llm import bpe, chat
 from followgraph.llm.near_dedup import near_duplicates
+from followgraph.llm.scratch import folder as scratch_folder
+from followgraph.llm.token_file import read_tokens, write_tokens
 from followgraph.llm.top_k import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +50,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WHERE rank <= 5"""
 
 
+def op8_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch_folder(spark)
+    write_tokens(_table(spark, folder, "documents"), place, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, place).drop("ids")
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     text = r"\### Assistant: </turn> ok"
@@ -98,7 +106,7 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op4_bpe, op7_top_k, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op4_bpe, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
