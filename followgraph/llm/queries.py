@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from followgraph.llm import bpe, chat
+from followgraph.llm import bpe, chat, pii, secrets
 from followgraph.llm.near_dedup import near_duplicates
 from followgraph.llm.scratch import folder as scratch_folder
 from followgraph.llm.token_file import read_tokens, write_tokens
@@ -26,12 +26,21 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return secrets.scan(documents, secrets.train(documents))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encoded(documents, path, public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(_table(spark, folder, "documents"))
+
+
 def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -106,7 +115,7 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op4_bpe, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op2_secrets, op4_bpe, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
