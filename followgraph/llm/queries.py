@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from followgraph.llm import bpe, chat, pii, secrets
+from followgraph.llm import bpe, chat, pii, quality, secrets
 from followgraph.llm.near_dedup import near_duplicates
 from followgraph.llm.scratch import folder as scratch_folder
 from followgraph.llm.token_file import read_tokens, write_tokens
@@ -37,6 +37,11 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(documents, path, public_tokenizers.PATTERN).drop("ids")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return quality.scored(documents, quality.train(documents, _table(spark, folder, "labels")))
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(_table(spark, folder, "documents"))
 
@@ -115,7 +120,7 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op2_secrets, op4_bpe, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op2_secrets, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
