@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from followgraph.llm import bpe, chat, pii, quality, secrets
+from followgraph.llm.decontaminate import contamination
 from followgraph.llm.near_dedup import near_duplicates
 from followgraph.llm.scratch import folder as scratch_folder
 from followgraph.llm.token_file import read_tokens, write_tokens
@@ -26,6 +27,10 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return secrets.scan(documents, secrets.train(documents))
@@ -120,7 +125,7 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op2_secrets, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
