@@ -12,6 +12,7 @@ import public_tokenizers
 from followgraph.llm import bpe, chat, pii, quality, secrets
 from followgraph.llm.decontaminate import contamination
 from followgraph.llm.near_dedup import near_duplicates
+from followgraph.llm.passages import repeated_passages
 from followgraph.llm.scratch import folder as scratch_folder
 from followgraph.llm.token_file import read_tokens, write_tokens
 from followgraph.llm.top_k import top_k
@@ -36,6 +37,10 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(documents, secrets.train(documents))
 
 
+def op3_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -125,7 +130,7 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_passages, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
