@@ -1,0 +1,140 @@
+"""BPE and token files against the libraries, and exact round trips."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+P = pytest.importorskip("public_tokenizers")
+tiktoken = pytest.importorskip("tiktoken")
+tokenizers = pytest.importorskip("tokenizers")
+
+from followgraph.llm import bpe, elias_fano, token_file  # noqa: E402
+
+PIECES = (
+    ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "LL", "É", "ß", "漢", "1", "22", "!", "...", "The", "　"]
+    + ["\x1c", "\x85", "​", "힣", "é", "😀", "ing", "ion", "\r\n", "_", ",", "İ", "Σ", "<|endoftext|>"]
+)
+EXTREMES = ["", " ", "\n", "a", "ab" * 40_000, " " * 5000, "x\n \ny", "a   b", "\\", "don't 'tis"]
+
+
+def texts(seed, n=400):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(PIECES, k=rng.randint(0, 30))) for _ in range(n)] + EXTREMES
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.Encoder(bpe.Vocabulary.read(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+
+
+def plain(coder):
+    return tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=coder.vocabulary.ranks, special_tokens={})
+
+
+def ids(packed):
+    return np.frombuffer(packed, "<u4").tolist()
+
+
+def test_encode_and_decode(coder):
+    library = plain(coder)
+    for text in texts(1):
+        found = coder.encode(text)
+        assert ids(found) == library.encode_ordinary(text), text
+        assert coder.decode(found) == text.encode()
+
+
+def test_extend(coder):
+    rng = random.Random(2)
+    for text in texts(3, 200):
+        cut = rng.randint(0, len(text))
+        assert coder.extend(text[:cut], coder.encode(text[:cut]), text[cut:]) == coder.encode(text)
+
+
+def test_prefix_table_appends_and_edits(coder):
+    rng = random.Random(4)
+    v = coder.vocabulary
+    for _ in range(120):
+        data = bytes(rng.choice(b"abcdeing ion'") for _ in range(rng.randint(0, 60)))
+        table = bpe.PrefixTable(v, data[:5])
+        table.append(data[5:])
+        assert table.last == bpe.PrefixTable(v, data).last
+        a = rng.randint(0, len(data))
+        b = rng.randint(a, len(data))
+        new = bytes(rng.choice(b"xyzing") for _ in range(rng.randint(0, 5)))
+        table.replace(a, b, new)
+        assert table.data == data[:a] + new + data[b:]
+        assert table.last == bpe.PrefixTable(v, table.data).last
+    long = bpe.PrefixTable(v, b"abcing" * 2000)
+    assert long.replace(6000, 6001, b"q") < 500
+
+
+def test_vocabulary_that_merging_cannot_make():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300}
+    table = bpe.PrefixTable(bpe.Vocabulary(ranks), b"xabc")
+    assert table.ids() == list(b"xabc")
+
+
+def test_encoded_frame(spark, coder):
+    rows = [(1, "a b", 1), (1, "a b", 2), (None, "x", 3), (2, None, 4), (3, "", 5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.encoded(frame, path, P.PATTERN).collect()
+    assert [r.doc_id for r in got] == [1, 1, None, 2, 3]
+    assert [ids(r.ids) for r in got] == [plain(coder).encode_ordinary(t or "") for _, t, _ in rows]
+    assert bpe.encoded(frame.limit(0), path, P.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("n, top", [(0, 1), (1, 0), (1, 5), (700, 10), (700, 10**12), (3000, 10**5), (300, 2**62)])
+def test_elias_fano(n, top):
+    rng = random.Random(n)
+    values = np.sort(np.array([rng.randint(0, top) for _ in range(n)], np.uint64))
+    data = elias_fano.encode(values)
+    read = elias_fano.EliasFano(b"xx" + data, 2)
+    assert (read.all() == values).all() and read.end == len(data) + 2
+    assert [read.select(i) for i in range(n)] == values.tolist()
+    with pytest.raises(IndexError):
+        read.select(n)
+    if n == 3000:
+        assert len(data) < 3000 * 8 // 3
+
+
+def test_segment():
+    lists = [np.array(x, int) for x in ([1, 2], [3], [], [9, 9, 70000])]
+    segment = token_file.Segment(token_file.pack_segment([None, -5, -5, 7], lists, True))
+    assert segment.doc_ids() == [None, -5, -5, 7]
+    assert [segment.document(i).tolist() for i in range(4)] == [x.tolist() for x in lists]
+
+
+def test_tokenizer_memo():
+    coder = token_file._Tokenizer(P.path("word_bpe_49k.json"))
+    some = texts(6, 3000)
+    for text, packed in zip(some, coder.encode(some), strict=True):
+        want = coder.model.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, coder.kind).tolist() == want, text
+
+
+def test_write_and_read_files(spark, tmp_path):
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts(8, 100))] + [(None, "n"), (5, None), (5, None)]
+    frame = spark.createDataFrame([(t, i, 0) for i, t in rows], "text string, doc_id bigint, part int")
+    path = P.path("word_bpe_49k.json")
+    token_file.write_tokens(frame.repartition(4), str(tmp_path / "t"), path, segment_ids=500)
+    got = token_file.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    model = token_file._Tokenizer(path).model
+    start = 0
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    assert len(got) == len(order)
+    for r, (name, text) in zip(got, order, strict=True):
+        want = np.array([*model.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens) == (name, start, len(want))
+        assert bytes(r.ids) == want.tobytes() and r.ids_crc32 == zlib.crc32(want.tobytes())
+        start += len(want)
+
+
+def test_empty_files(spark, tmp_path):
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    token_file.write_tokens(frame, str(tmp_path / "t"), P.path("word_bpe_49k.json"))
+    assert token_file.read_tokens(spark, str(tmp_path / "t")).collect() == []
