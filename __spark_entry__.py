@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import followgraph as fg  # noqa: E402
-from followgraph.functions.columns import (  # noqa: E402
-    PAGE_DIVISOR,
-    PAGE_MODULUS,
-    PAGE_MULTIPLIER,
-)
-from followgraph.operators.adjacency import MAX_PAGED_NODES  # noqa: E402
 from followgraph.sources.tables import purchase_edges, supply_edges  # noqa: E402
 
 try:
@@ -155,14 +149,11 @@ JOIN e c ON b.followee = c.follower AND c.followee = a.follower"""
 
 
 def _adjacency_sql(key: str, other: str, out: str) -> str:
-    modulus, factor, divisor = PAGE_MODULUS, PAGE_MULTIPLIER, PAGE_DIVISOR
     return f"""WITH {_SUPPLY},
 p AS (SELECT {key}, {other}, count(*) AS n FROM e GROUP BY {key}, {other}),
-s AS (SELECT {key} AS k, count(*) AS m FROM p GROUP BY {key}),
-g AS (SELECT k, CASE WHEN m >= greatest({PAGE}, (SELECT count(*) FROM p) / {MAX_PAGED_NODES}.0)
-             THEN CAST(ceil(m / {PAGE}.0) AS BIGINT) ELSE 1 END AS pages FROM s),
-q AS (SELECT {key}, {other}, n,
-             (((({other} % {modulus}) + {modulus}) % {modulus}) * {factor} // {divisor}) % pages AS page
+g AS (SELECT {key} AS k, (count(*) + {PAGE - 1}) // {PAGE} AS pages FROM p GROUP BY {key}),
+q AS (SELECT {key}, {other}, n, CASE WHEN pages = 1 THEN 0
+        ELSE CAST('0x' || substr(md5(CAST({other} AS VARCHAR)), 1, 8) AS BIGINT) % pages END AS page
       FROM p JOIN g ON {key} = k)
 SELECT {key}, CAST(page AS BIGINT) AS page,
        string_agg(CAST({other} AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY {other}) AS {out},

@@ -15,13 +15,11 @@ from followgraph.plans.sizing import deal_out
 WIDE = "decimal(38,0)"
 
 # One exploded array never holds more copies than this.
-COPIES_PER_BLOCK = 1_000_000
+COPIES_PER_BLOCK = 65_536
 
-# Fixed values of the page formula (a multiplicative hash), which the SQL checks
-# repeat: ids are taken modulo 2^31, multiplied, and the high bits are used.
-PAGE_MODULUS = 2147483648
-PAGE_MULTIPLIER = 2654435761
-PAGE_DIVISOR = 65536
+# Rows of one input task that share a block: a run of equal rows in a single
+# split is cut at this length.
+ROWS_PER_BLOCK = 65_536
 
 
 def wide_product(*factors: str) -> str:
@@ -45,9 +43,17 @@ def slice_of(slices: int | str, *by: str) -> str:
 
 
 def page_of(neighbour: str, pages: str) -> str:
-    """Page in [0, pages) of a neighbour in a paged adjacency list."""
-    spread = f"pmod({neighbour}, {PAGE_MODULUS}L) * {PAGE_MULTIPLIER}L"
-    return f"pmod(({spread}) div {PAGE_DIVISOR}L, {pages})"
+    """Page in [0, pages) of a neighbour: the first 32 bits of the MD5 hash of its id, as text.
+
+    All bits of the id count, and the SQL checks can repeat it.
+    """
+    spread = f"conv(substring(md5(cast({neighbour} AS string)), 1, 8), 16, 10)"
+    return f"IF({pages} = 1, 0L, cast({spread} AS bigint) % {pages})"
+
+
+def row_block() -> str:
+    """Number of the block of ROWS_PER_BLOCK rows that a row is in, within its input task."""
+    return f"(monotonically_increasing_id() & {(1 << 33) - 1}L) div {ROWS_PER_BLOCK}L"
 
 
 def each(count: str) -> str:

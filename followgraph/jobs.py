@@ -10,7 +10,7 @@ import argparse
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 import followgraph as fg
 
@@ -57,6 +57,11 @@ JOBS = {
     ),
     "two-path-total": Job(lambda e, a: fg.two_path_total(e), "text", "number of two-paths"),
     "two-paths": Job(lambda e, a: fg.two_paths(e), "paths", "all two-paths"),
+    "close-paths": Job(
+        lambda e, a: fg.close_paths(fg.read_two_paths(e.sparkSession, a.paths), e),
+        "csv",
+        "stored two-paths (--paths) that an edge closes",
+    ),
     "triangle-edges": Job(
         lambda e, a: fg.triangle_edges(e), "tsv", "triangles as closing edge and two hops"
     ),
@@ -81,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("output", help="result folder")
     p.add_argument("--max-id", type=int, help="keep edges whose ids are both below this")
     p.add_argument("--modulus", type=int, help="follower counts: keep multiples of this")
+    p.add_argument("--paths", help="close-paths: files that two-paths wrote")
     p.add_argument("--recursive", action="store_true", help="read subfolders of the input")
     p.add_argument("--mode", choices=("permissive", "failfast"), default="permissive")
     p.add_argument("--overwrite", action="store_true", help="replace an existing result")
@@ -88,10 +94,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, argv: Sequence[str]) -> None:
-    """Run one job; any failure raises."""
+def run(spark: SparkSession, argv: Sequence[str]) -> int:
+    """Run one job; the number of rows written. Any failure raises.
+
+    Prints that number and how many lines of the input were dropped; both are
+    counted in the pass that makes the result.
+    """
     args = parser().parse_args(argv)
-    edges = fg.read_edges(spark, args.input, mode=args.mode, recursive=args.recursive)
+    if args.job == "close-paths" and not args.paths:
+        raise ValueError("close-paths needs --paths")
+    lines = Observation("lines")
+    edges = fg.read_edges(
+        spark, args.input, mode=args.mode, recursive=args.recursive, rejected=lines
+    )
     if args.max_id is not None:
         edges = fg.truncate(edges, args.max_id)
     job = JOBS[args.job]
@@ -99,4 +114,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> None:
     if args.explain:
         result.explain("formatted")
     mode = "overwrite" if args.overwrite else "errorifexists"
-    fg.write_result(result, args.output, job.fmt, mode)
+    rows = fg.write_result(result, args.output, job.fmt, mode)
+    seen = lines.get
+    print(f"{rows} rows written; {seen['dropped']} of {seen['read']} lines dropped")
+    return rows

@@ -2,53 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from followgraph.functions.columns import page_of
 from followgraph.operators.edges import check_endpoint, collapse, other_endpoint
-from followgraph.plans.skew import is_hot
+from followgraph.plans.skew import MAX_HOT_KEYS, is_hot
 
 PAGE_SIZE = 10_000
-MAX_PAGED_NODES = 1_000_000
 
 
 def adjacency(
     edges: DataFrame,
     endpoint: str,
     page_size: int = PAGE_SIZE,
-    max_paged: int = MAX_PAGED_NODES,
+    max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Neighbours of every ``endpoint`` node: (endpoint, page, neighbours, n).
 
     ``neighbours`` is an array of (id, copies) sorted by id, and ``n`` the
-    number of edges it stands for. A node with many distinct neighbours is cut
-    into pages of about ``page_size``, so no hub is collected into one row.
-    The nodes to cut are broadcast: those with at least
-    max(page_size, distinct edges / max_paged) neighbours, hence at most
-    ``max_paged`` of them. All others fit one page, number 0.
+    number of edges it stands for. A node with m distinct neighbours has
+    ceil(m / page_size) pages; an entry's page is a hash of its id, so a page
+    holds about ``page_size`` of them, and no other node has a say.
+
+    Nodes that hold at least 1 / max_hot of all distinct edges, and more than
+    a page, are split at once: their sizes are broadcast, and their entries
+    are shuffled by page. All other nodes stay whole in one shuffle by node,
+    which serves their sizes and their pages.
     """
     key = check_endpoint(endpoint)
     other = other_endpoint(endpoint)
     pairs = collapse(edges)
     # n is read (it is always positive) so that this pass and the main one
     # share the shuffle of collapse.
-    sizes = pairs.groupBy(F.col(key).alias("_hot")).agg(
-        F.expr("count_if(n > 0) AS _neighbours")
-    )
-    hot = sizes.where(is_hot(sizes, "_neighbours", page_size, max_paged)).selectExpr(
-        "_hot", f"ceil(_neighbours / {page_size}L) AS _pages"
-    )
-    paged = pairs.join(F.broadcast(hot), F.expr(f"{key} = _hot"), "left").selectExpr(
-        key,
-        f"{page_of(other, 'coalesce(_pages, 1L)')} AS page",
-        f"struct({other} AS id, n AS copies) AS entry",
-    )
-    return paged.groupBy(key, "page").agg(
-        F.expr("array_sort(collect_list(entry)) AS neighbours"),
-        F.expr("sum(entry.copies) AS n"),
+    sizes = pairs.groupBy(F.col(key).alias("_hot")).agg(F.expr("count_if(n > 0) AS _size"))
+    hot = sizes.where(is_hot(sizes, "_size", page_size + 1, max_hot))
+    hot = F.broadcast(hot)
+    same = F.expr(f"{key} = _hot")
+    large = pairs.join(hot, same)
+    small = pairs.join(hot, same, "left_anti").withColumn(
+        "_size", F.count(F.lit(1)).over(Window.partitionBy(key))
     )
 
+    def paged(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("_pages", F.expr(f"(_size + {page_size - 1}L) div {page_size}L"))
+            .selectExpr(key, f"{page_of(other, '_pages')} AS page", f"struct({other} AS id, n AS copies) AS entry")
+            .groupBy(key, "page")
+            .agg(F.expr("array_sort(collect_list(entry)) AS neighbours"), F.expr("sum(entry.copies) AS n"))
+        )
+
+    return paged(small).unionAll(paged(large))
+
 
 def in_adjacency(edges: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Followers of every followee."""

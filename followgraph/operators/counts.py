@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from followgraph.functions.columns import slice_of
+from followgraph.functions.columns import row_block, slice_of
 from followgraph.operators.edges import check_endpoint, other_endpoint, where_multiple
+from followgraph.plans.sizing import shuffle_partitions
 
 Merge = Callable[[Column, Column], Column]
 
-# Slices of every key. Shuffling uncombined rows needs many, so that a key with
-# a third of all rows is spread over a cluster; combined rows need only a few.
-GROUP_SLICES = 1024
-AGGREGATE_SLICES = 64
+# Input tasks whose folded values of a key are folded together.
+TASKS_PER_FOLD = 1_000
 
 
 def edge_count(edges: DataFrame) -> DataFrame:
@@ -29,15 +28,18 @@ def reduce_by_key(df: DataFrame, key: str, value: Column, out: str) -> DataFrame
 
 
 def group_count_by_key(
-    df: DataFrame, key: str, by: str, out: str, slices: int = GROUP_SLICES
+    df: DataFrame, key: str, by: str, out: str, slices: int | None = None
 ) -> DataFrame:
     """Size of each key's group after shuffling every row, without combining first.
 
-    A group is shuffled in slices, chosen by the column ``by`` and by the task
-    that read the row, and is counted as it streams by: no group is collected,
-    and neither a hot key nor copies of a single row meet in one task.
+    A group is shuffled in slices, by default as many as there are shuffle
+    partitions. They are chosen by the column ``by`` and by the block of rows
+    of the task that read the row. A group is counted as it streams by: none
+    is collected, and neither a hot key nor copies of a single row meet in
+    one task, even if all of them come from one input split.
     """
-    part = slice_of(slices, by, "spark_partition_id()")
+    slices = slices or shuffle_partitions(df)
+    part = slice_of(slices, by, "spark_partition_id()", row_block())
     return (
         df.selectExpr(key, f"{part} AS _slice")
         .repartition(key, "_slice")
@@ -53,18 +55,21 @@ def fold_by_key(
 ) -> DataFrame:
     """Fold of ``value`` per key with any associative, commutative ``merge``.
 
-    ``zero`` must be neutral for ``merge``. As in a fold by key, each input
-    task folds its own rows of a key, and the partial results are folded again.
-    A collected array therefore holds at most the rows of one input partition
-    (first step) or one value per input partition (second step), however hot
-    the key is.
+    ``zero`` must be neutral for ``merge``. A key's values are folded in
+    steps: blocks of rows of an input task, blocks of a task, groups of tasks,
+    and these. A collected array therefore holds at most ROWS_PER_BLOCK
+    values, the blocks of one input split, TASKS_PER_FOLD values, or one for
+    each group of tasks, however hot the key is.
     """
-    partials = (
-        df.select(key, value.alias("_v"), F.spark_partition_id().alias("_task"))
-        .groupBy(key, "_task")
-        .agg(F.reduce(F.collect_list("_v"), zero, merge).alias("_v"))
+    folded = F.reduce(F.collect_list("_v"), zero, merge)
+    parts = df.select(
+        key, value.alias("_v"), F.spark_partition_id().alias("_task"), F.expr(row_block()).alias("_block")
     )
-    return partials.groupBy(key).agg(F.reduce(F.collect_list("_v"), zero, merge).alias(out))
+    parts = parts.groupBy(key, "_task", "_block").agg(folded.alias("_v"))
+    parts = parts.groupBy(key, "_task").agg(folded.alias("_v"))
+    group = F.expr(f"_task div {TASKS_PER_FOLD}").alias("_tasks")
+    parts = parts.groupBy(key, group).agg(folded.alias("_v"))
+    return parts.groupBy(key).agg(folded.alias(out))
 
 
 def aggregate_by_key(
@@ -74,12 +79,14 @@ def aggregate_by_key(
     within: Column,
     across: Callable[[Column], Column],
     out: str,
-    slices: int = AGGREGATE_SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Two-stage aggregation: ``within`` each slice of a key, then ``across`` slices.
 
-    Slices come from the values of ``by``, so reruns of a task agree.
+    Slices, by default as many as there are shuffle partitions, come from the
+    values of ``by``, so reruns of a task agree.
     """
+    slices = slices or shuffle_partitions(df)
     return (
         df.selectExpr("*", f"{slice_of(slices, by)} AS _slice")
         .groupBy(key, "_slice")

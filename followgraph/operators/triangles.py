@@ -24,11 +24,24 @@ from followgraph.functions.columns import (
     wide_sum,
 )
 from followgraph.operators.edges import collapse
-from followgraph.plans.sizing import BROADCAST_ROWS, fits_broadcast
+from followgraph.plans.sizing import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    at_most,
+    deal_out,
+    estimated_bytes,
+    shuffle_partitions,
+)
 from followgraph.plans.skew import slices_for
 
 STRATEGIES = ("shuffle", "broadcast", "adjacency")
 
+# Walks of two steps that one cell of a node's grid may make unnoticed.
+LEAST_CELL = 2_500
+
+# Cells that all such walks would fill, for each shuffle partition.
+CELLS_PER_PARTITION = 8
+
 # Nodes ranked by their exact degree when the graph is larger than this.
 RANKED_NODES = 1_000_000
 
@@ -121,29 +134,68 @@ def _legs(pairs: DataFrame, ranked_nodes: int) -> tuple[DataFrame, DataFrame, Da
     return first, last, middle
 
 
-def _fan() -> str:
+def _fan(most: int) -> str:
     """Slices of a closing edge b -> c.
 
     The walks it closes start at common neighbours, so they are no more than
     the smaller degree of its ends: only an edge between two hubs is sliced.
     """
-    return slices_for("least(b_rank, c_rank)", CLOSING_ROWS)
+    return slices_for("least(b_rank, c_rank)", CLOSING_ROWS, most)
+
+
+def _grids(first: DataFrame, last: DataFrame) -> DataFrame:
+    """Nodes whose walks c -> a -> b would weigh on a single task, with their grid.
+
+    Ranking bounds up(a) and down(a), the edges on either side, but not their
+    product. A node is cut if that is more than an eighth of a partition's
+    share of all products; fewer than eight nodes for each partition can be.
+    """
+    sides = first.selectExpr("a", "1L AS _up", "0L AS _down").unionAll(
+        last.selectExpr("a", "0L AS _up", "1L AS _down")
+    )
+    nodes = sides.groupBy("a").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
+    product = "cast(_up AS double) * cast(_down AS double)"
+    share = f"coalesce(sum({product}), 0D) / {float(CELLS_PER_PARTITION * shuffle_partitions(first))}D"
+    side = nodes.selectExpr(f"sqrt(greatest({float(LEAST_CELL)}D, {share})) AS side").scalar()
+    return nodes.where(F.expr(product) > side * side).select(
+        F.col("a").alias("_hot"),
+        F.ceil(F.col("_up") / side).alias("_rows"),
+        F.ceil(F.col("_down") / side).alias("_columns"),
+    )
+
+
+def _on_grid(leg: DataFrame, grids: DataFrame, end: str, own: str, facing: str) -> DataFrame:
+    """One side of the first join: its own place on the grid, replicated along the other axis."""
+    placed = leg.join(F.broadcast(grids), F.expr("a = _hot"), "left")
+    spread = placed.selectExpr(
+        *leg.columns,
+        f"IF(_hot IS NULL, 0L, {slice_of(own, end)}) AS _own",
+        f"{each(f'coalesce({facing}, 1L)')} AS _facing",
+    )
+    renamed = {"_own": own, "_facing": facing}
+    return deal_out(spread.withColumnsRenamed(renamed), "a", "_rows", "_columns")
 
 
 def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     """Two sort-merge joins, on a and then on (b, c).
 
     After ranking, no node keeps more than sqrt(2 E) edges on either side of
-    the first join. In the second, the closing edge between two hubs is
-    replicated to a few slices and the walks of the pair are dealt out to them.
+    the first join, and a node whose two sides make very many walks is laid
+    out on a grid: edges a -> b over its rows, edges c -> a over its columns.
+    In the second join, the closing edge between two hubs is replicated to a
+    few slices and the walks of the pair are dealt out to them.
     """
     first, last, middle = _legs(pairs, ranked_nodes)
+    fan = _fan(shuffle_partitions(pairs))
+    grids = _grids(first, last)
+    ups = _on_grid(first, grids, "b", "_rows", "_columns")
+    downs = _on_grid(last, grids, "c", "_columns", "_rows")
     wedges = (
-        first.join(last.hint("merge"), "a")
+        ups.join(downs.hint("merge"), ["a", "_rows", "_columns"])
         .where(ONE_ROTATION)
-        .selectExpr("a", "b", "c", "n_ab", "n_ca", f"{slice_of(_fan(), 'a')} AS _slice")
+        .selectExpr("a", "b", "c", "n_ab", "n_ca", f"{slice_of(fan, 'a')} AS _slice")
     )
-    closing = middle.selectExpr("b", "c", "n_bc", f"{each(_fan())} AS _slice")
+    closing = middle.selectExpr("b", "c", "n_bc", f"{each(fan)} AS _slice")
     return wedges.join(closing.hint("merge"), ["b", "c", "_slice"])
 
 
@@ -156,34 +208,46 @@ def _by_broadcast(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
 
 
 def _by_adjacency(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
-    """Neighbour lists replicated to every task; a and b look up a common c."""
+    """Lists of the edges into a, replicated to every task; each is looked up from b.
+
+    Ranking keeps a list into a short, at most sqrt(2 E) entries. It is read
+    once for every edge a -> b, and the edge b -> c is found by its key: no
+    list of a hub is walked again for each of the hub's edges.
+    """
     first, last, middle = _legs(pairs, ranked_nodes)
-    into_a = last.groupBy("a").agg(
-        F.expr("map_from_entries(collect_list(struct(c, n_ca))) AS into_a")
-    )
-    out_of_b = middle.groupBy("b").agg(
-        F.expr("map_from_entries(collect_list(struct(c, n_bc))) AS out_of_b")
-    )
+    into_a = last.groupBy("a").agg(F.expr("collect_list(struct(c, n_ca)) AS into_a"))
+    closing = F.broadcast(middle.drop("b_rank", "c_rank"))
     return (
         first.join(F.broadcast(into_a), "a")
-        .join(F.broadcast(out_of_b), "b")
-        .selectExpr("*", "explode(array_intersect(map_keys(into_a), map_keys(out_of_b))) AS c")
+        .selectExpr("a", "b", "n_ab", "inline(into_a)")
         .where(ONE_ROTATION)
-        .selectExpr("a", "b", "c", "n_ab", "out_of_b[c] AS n_bc", "into_a[c] AS n_ca")
+        .join(closing, ["b", "c"])
     )
 
 
+def strategy_for(edges: DataFrame, wanted: str = "auto", max_bytes: int = BROADCAST_BYTES) -> str:
+    """The strategy that a call with ``wanted`` runs.
+
+    ``auto`` is ``broadcast`` where the optimizer expects at most ``max_bytes``
+    of edges, else ``shuffle``. It goes by file sizes and runs no job. Any
+    other strategy is itself.
+    """
+    if wanted == "auto":
+        return "broadcast" if estimated_bytes(edges) <= max_bytes else "shuffle"
+    if wanted not in STRATEGIES:
+        raise ValueError(f"strategy must be auto or one of {STRATEGIES}, not {wanted!r}")
+    return wanted
+
+
 def _walks(edges: DataFrame, strategy: str, max_broadcast: int, ranked_nodes: int) -> DataFrame:
     """One rotation of every closed walk: a, b, c and the copies of its edges."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    strategy = strategy_for(edges, strategy)
     pairs = collapse(edges)
-    if strategy == "shuffle" or not fits_broadcast(edges, max_broadcast):
+    if strategy == "shuffle":
         found = _by_shuffle(pairs, ranked_nodes)
-    elif strategy == "broadcast":
-        found = _by_broadcast(pairs, ranked_nodes)
     else:
-        found = _by_adjacency(pairs, ranked_nodes)
+        small = at_most(pairs, max_broadcast, "use the strategy shuffle")
+        found = (_by_broadcast if strategy == "broadcast" else _by_adjacency)(small, ranked_nodes)
     return found.select("a", "b", "c", "n_ab", "n_bc", "n_ca")
 
 
@@ -195,8 +259,9 @@ def triangle_count(
 ) -> DataFrame:
     """One row: ``closed_walks`` and ``triangles``, zeros for an empty graph.
 
-    ``broadcast`` and ``adjacency`` first count the edges and take the shuffle
-    plan when there are more than ``max_broadcast``. The answer is the same.
+    The plan is the one that is asked for; ``auto`` asks ``strategy_for``.
+    ``broadcast`` and ``adjacency`` replicate the distinct edges, so they fail
+    when run on more than ``max_broadcast`` of them. The answers are the same.
     """
     walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
     copies = wide_product("n_ab", "n_bc", "n_ca")

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 # Proven ceiling on a broadcast hot-key frame.
 MAX_HOT_KEYS = 100_000
 
-# Number of slices a hot key is cut into at most. It bounds the parallelism of
-# one key, never the rows kept.
-MAX_SLICES = 256
-
 
 def is_hot(
     weights: DataFrame,
@@ -36,6 +32,10 @@ def is_hot(
     return F.expr(f"cast({weight} as double)") >= bar.scalar()
 
 
-def slices_for(rows: str, rows_per_slice: int) -> str:
-    """How many slices to cut ``rows`` into, between 1 and MAX_SLICES."""
-    return f"greatest(1L, least({MAX_SLICES}L, ceil({rows} / {rows_per_slice}L)))"
+def slices_for(rows: str, rows_per_slice: int, most: int) -> str:
+    """How many slices to cut ``rows`` into, between 1 and ``most``.
+
+    ``most`` is the session's number of shuffle partitions: more slices would
+    not reach more tasks.
+    """
+    return f"greatest(1L, least({most}L, ceil({rows} / {rows_per_slice}L)))"

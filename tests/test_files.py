@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 
 import followgraph as fg
 from followgraph import jobs
@@ -111,6 +112,37 @@ def test_two_path_round_trip(spark, frame, tmp_path):
     assert fg.close_paths(paths, edges).count() == 9
 
 
+def test_broken_paths_are_dropped_and_counted(spark, tmp_path):
+    path = tmp_path / "paths"
+    path.write_text("1,2\t2,3\n1,2\t4,3\nx\n")
+    rejected = Observation()
+    assert bag(fg.read_two_paths(spark, str(path), rejected)) == [(1, 2, 3)]
+    assert rejected.get == {"read": 3, "dropped": 2}
+
+
+def test_missing_values_and_separators(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 3)], "a bigint, b bigint, c bigint")
+    for fmt, want in {"csv": "1,null,3", "tuple": "(1,null,3)", "tsv": "1\tnull\t3"}.items():
+        assert fg.write_result(df, str(tmp_path / fmt), fmt) == 1
+        assert lines(tmp_path / fmt) == [want]
+    apart = spark.createDataFrame([("1,2", 3)], "a string, b bigint")
+    with pytest.raises(Exception, match="holds a separator"):
+        fg.write_result(apart, str(tmp_path / "x"), "csv")
+    fg.write_result(apart, str(tmp_path / "y"), "tsv")
+    assert lines(tmp_path / "y") == ["1,2\t3"]
+
+
+def test_close_paths_job(spark, tmp_path, edge_file, capsys):
+    path = edge_file([*TINY, ("a", "b")])
+    assert jobs.run(spark, ["two-paths", path, str(tmp_path / "paths")]) == 13
+    assert "13 rows written; 1 of 11 lines dropped" in capsys.readouterr().out
+    args = ["close-paths", path, str(tmp_path / "closed")]
+    with pytest.raises(ValueError):
+        jobs.run(spark, args)
+    assert jobs.run(spark, [*args, "--paths", str(tmp_path / "paths")]) == 9
+    assert len(lines(tmp_path / "closed")) == 9
+
+
 JOB_ANSWERS = [
     ("follower-count-reduce", HUNDREDS, ["--modulus", "100"], ["(100,3)", "(300,1)", "(400,2)"]),
     ("follower-count-group", HUNDREDS, ["--modulus", "100"], ["(100,3)", "(300,1)", "(400,2)"]),
@@ -149,7 +181,7 @@ def test_jobs(spark, tmp_path, edge_file, job, pairs, options, want):
 
 
 def test_every_job_is_tested():
-    assert {j[0] for j in JOB_ANSWERS} == set(jobs.JOBS)
+    assert {j[0] for j in JOB_ANSWERS} | {"close-paths"} == set(jobs.JOBS)
 
 
 def test_job_refuses_existing_output(spark, tmp_path, edge_file, capsys):
