@@ -222,6 +222,8 @@ def scored(documents: DataFrame, model: RuleEnsemble) -> DataFrame:
 def keep_good(documents: DataFrame, model: RuleEnsemble) -> DataFrame:
     """The rows that ``scored`` predicts as good; same columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    numbers = F.struct(*statistics(text)).alias("_statistics")
-    tested = documents.select(F.struct("*").alias("_row"), numbers).select("_row", "_statistics.*")
+    whole = documents.select(F.struct("*").alias("_row"), F.struct(*statistics(text)).alias("_statistics"))
+    # A generator of one row: a filter would otherwise be moved below the
+    # statistics, and compute them anew for each of its tests.
+    tested = whole.select("_row", F.inline(F.array("_statistics")))
     return tested.where(model.score() >= ACCEPT).select("_row.*")
