@@ -20,15 +20,15 @@ from followgraph.sources.tables import purchase_edges, supply_edges  # noqa: E40
 
 try:
     from followgraph.llm import queries as llm
-except ModuleNotFoundError as problem:
-    if not (problem.name or "").startswith("followgraph.llm"):
+except ImportError as problem:
+    if problem.name not in ("followgraph.llm", "followgraph.llm.queries"):
         raise
     llm = None
 
 try:
     import corpus_pipeline
-except ModuleNotFoundError as problem:
-    if problem.name != "corpus_pipeline" and not (problem.name or "").startswith("followgraph.llm"):
+except ImportError as problem:
+    if problem.name not in ("corpus_pipeline", "followgraph.llm"):
         raise
     corpus_pipeline = None
 
