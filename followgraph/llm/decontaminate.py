@@ -23,10 +23,10 @@ PERCENT = 75
 
 # Window sizes grow by this factor; an item is searched by its first and by its
 # last words, as many as the largest window that it holds.
-GROWTH = 1.12
+GROWTH = 1.25
 # Windows start at every size // 16 words.
 STRIDE_PART = 16
-CHUNK_WORDS = 8192
+CHUNK_WORDS = 16_384
 MOST_WEIGHT = 12
 
 FOUND = (
