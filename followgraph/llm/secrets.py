@@ -295,10 +295,14 @@ def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     the neighbouring words are hidden, so that shape alone tells too.
     """
     texts = documents.select("text").where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = []
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    chosen: list[int] = []
     for found in (True, False):
-        some = texts.where(F.col("text").rlike(SAMPLE_PATTERN) == F.lit(found))
-        rows += some.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()
+        some = hashed.where(F.col("text").rlike(SAMPLE_PATTERN) == F.lit(found))
+        # Hashes alone are sorted and sent: every task sends its smallest ones.
+        chosen += [r[0] for r in some.select("hash").distinct().orderBy("hash").limit(sample_rows).collect()]
+    rows = hashed.where(F.col("hash").isin(chosen)).groupBy("hash").agg(F.min("text")).orderBy("hash")
+    rows = [(r[1],) for r in rows.collect()] if chosen else []
     windows = []
     words = [i for i, (name, _) in enumerate(FEATURES) if "word" in name]
     for row in rows:
