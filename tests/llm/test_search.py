@@ -200,6 +200,39 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(frame.limit(0)).collect() == []
 
 
+def test_passage_of_shingles_that_occur_elsewhere(spark):
+    """Documents that hold all its shingles in pieces stand first, and just before the second holder."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(51)]
+
+    def around(pieces):
+        text = [f"x{rng.random()}" for _ in range(30)]
+        for piece in pieces:
+            text += piece + [f"x{rng.random()}" for _ in range(30)]
+        return " ".join(text)
+
+    pieces = [passage[:20], passage[16:36], passage[32:]]
+    docs = [(i, around(rng.sample(pieces, 3))) for i in [*range(300), *range(400, 700)]]
+    docs += [(350, around([passage])), (800, around([passage]))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(800, 350)}
+    assert got[0].end_word - got[0].start_word == 51 and got[0].similarity == 1
+
+
+def test_exact_repeats_match_brute_force(spark):
+    rng = random.Random(7)
+    parts = [lines(rng, [f"v{i}" for i in range(300)], 10) for _ in range(3)]
+    docs = [(i, sum(rng.choices(parts, k=rng.randint(0, 12)), [])) for i in range(60)]
+    held = {}
+    for i, text in docs:
+        for at in range(len(text) - 50):
+            held.setdefault(tuple(text[at : at + 51]), []).append((i, at))
+    want = {(x, s, min(held[k])) for k in held for x, s in held[k] if x != min(held[k])[0]}
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id bigint, text string")
+    got = passages.exact_repeats(frame, 47).collect()
+    assert want and {(r.x, r.s, (r.y, r.s - r["shift"])) for r in got} == want
+
+
 def test_large_group_of_copies_gives_few_rows(spark):
     text = " ".join(f"c{i}" for i in range(120))
     frame = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string")
