@@ -233,6 +233,20 @@ def test_exact_repeats_match_brute_force(spark):
     assert want and {(r.x, r.s, (r.y, r.s - r["shift"])) for r in got} == want
 
 
+def test_passages_with_a_word_put_in(spark):
+    """Pairs of passages with a word in the middle of one, of similarity 0.83."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(400):
+        passage = [f"p{i}.{j}" for j in range(51)]
+        longer = passage[:25] + ["more"] + passage[25:]
+        for name, found in ((2 * i, passage), (2 * i + 1, longer)):
+            before, after = ([f"x{rng.random()}" for _ in range(30)] for _ in range(2))
+            docs.append((name, " ".join(before + found + after)))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.other_id, r.doc_id) for r in got} == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
 def test_large_group_of_copies_gives_few_rows(spark):
     text = " ".join(f"c{i}" for i in range(120))
     frame = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string")
