@@ -1,8 +1,9 @@
-"""Benchmark passages in documents: SimHash windows, multi-index blocks, exact checks."""
+"""Benchmark passages in documents: SimHash windows, multi-index blocks, rare shingles, exact checks."""
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ GROWTH = 1.25
 STRIDE_PART = 16
 CHUNK_WORDS = 16_384
 MOST_WEIGHT = 12
+# Bits of a shingle's hash by which most that are in no item are turned away.
+FILTER_BITS = 22
 
 FOUND = (
     "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, distance int, similarity double"
@@ -83,15 +86,24 @@ class _Item:
     words: int
     grams: dict[int, int]
     total: int
+    hashes: np.ndarray
+    print: np.ndarray
 
 
 @dataclass
 class Index:
-    """A block of benchmark items, ready to be searched for."""
+    """A block of benchmark items, ready to be searched for.
+
+    ``rare`` has, in order, the rarest shingles of every item, so many that no
+    passage without any of them is similar enough; ``owners`` has their items.
+    """
 
     items: list[_Item]
     sizes: list[_Size]
     longest: int
+    rare: np.ndarray
+    owners: np.ndarray
+    known: np.ndarray
 
 
 def _grams(held: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,10 +136,14 @@ def build(items: list[tuple[int, str]]) -> Index:
     counts = held.counts()
     hashes, weight, bounds = _grams(held)
     kept = [i for i in range(len(items)) if counts[i] >= SHINGLE_WORDS]
+    word_weight = weights(held.ends - held.starts)
     known = []
     for i in kept:
         bag = _bag(hashes[bounds[i] : bounds[i + 1]], weight[bounds[i] : bounds[i + 1]])
-        known.append(_Item(items[i][0], int(counts[i]), bag, sum(bag.values())))
+        own = slice(held.first[i], held.first[i + 1])
+        whole = signed(held.hashes[own], word_weight[own], np.int64).sum(axis=0)
+        grams = np.array(sorted(bag), np.uint64)
+        known.append(_Item(items[i][0], int(counts[i]), bag, sum(bag.values()), grams, packed(whole[None, :])))
     sizes = [SHINGLE_WORDS]
     while sizes[-1] < max((x.words for x in known), default=0):
         sizes.append(max(sizes[-1] + 1, int(sizes[-1] * GROWTH)))
@@ -138,7 +154,6 @@ def build(items: list[tuple[int, str]]) -> Index:
         by_size.setdefault(size, []).append((number, first))
         if size < item.words:
             by_size[size].append((number, first + item.words - size))
-    word_weight = weights(held.ends - held.starts)
     near = _neighbours(RADIUS // BLOCKS)
     out = []
     for size, places in sorted(by_size.items()):
@@ -158,7 +173,56 @@ def build(items: list[tuple[int, str]]) -> Index:
         numbers = np.array([number for number, _ in places])
         taken = [np.diff(offsets) > 0 for offsets in listed]
         out.append(_Size(size, stride, prints, numbers, listed, entries, taken))
-    return Index(known, out, max((x.words for x in known), default=0))
+    rare, owners = _rarest(known)
+    marks = np.zeros(1 << FILTER_BITS, bool)
+    marks[rare >> np.uint64(64 - FILTER_BITS)] = True
+    return Index(known, out, max((x.words for x in known), default=0), rare, owners, marks)
+
+
+def _rarest(items: list[_Item]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and the items of whose weight they are the rarest part.
+
+    A similar passage shares PERCENT hundredths of an item's weight at least,
+    hence one of any shingles that weigh more than the rest of the hundred.
+    """
+    held = Counter(h for item in items for h in item.grams)
+    rare: list[int] = []
+    owners: list[int] = []
+    for number, item in enumerate(items):
+        left = item.total
+        for h in sorted(item.grams, key=lambda h: (held[h], h)):
+            if 100 * left < PERCENT * item.total:
+                break
+            left -= item.grams[h]
+            rare.append(h)
+            owners.append(number)
+    order = np.argsort(np.array(rare, np.uint64), kind="stable")
+    return np.array(rare, np.uint64)[order], np.array(owners, np.int64)[order]
+
+
+def places(
+    hashes: np.ndarray, weight: np.ndarray, bounds: np.ndarray, index: Index
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, first words within the text) of all passages that may be similar enough; none is left out."""
+    at = np.flatnonzero(index.known[hashes >> np.uint64(64 - FILTER_BITS)])
+    low = np.searchsorted(index.rare, hashes[at], "left")
+    n = np.searchsorted(index.rare, hashes[at], "right") - low
+    at, low, n = at[n > 0], low[n > 0], n[n > 0]
+    entries = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else low
+    texts = np.searchsorted(bounds, np.repeat(at, n), "right") - 1
+    for code in np.unique(texts * len(index.items) + index.owners[entries]).tolist():
+        text, number = divmod(code, len(index.items))
+        item = index.items[number]
+        own, heavy = hashes[bounds[text] : bounds[text + 1]], weight[bounds[text] : bounds[text + 1]]
+        shared = np.where(np.isin(own, item.hashes), heavy, 0)
+        if 100 * shared.sum() < PERCENT * item.total:
+            continue
+        span = min(item.words - SHINGLE_WORDS + 1, len(own))
+        both, all_of_it = (
+            sums[span:] - sums[:-span] for sums in (np.concatenate([[0], np.cumsum(x)]) for x in (shared, heavy))
+        )
+        both = np.minimum(both, item.total)
+        yield text, number, np.flatnonzero(100 * both >= PERCENT * (item.total + all_of_it - both))
 
 
 def _near(prints: np.ndarray, kind: _Size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,33 +300,44 @@ def search(texts: pa.Array, index: Index) -> dict[tuple[int, int], tuple[float,
     """Best match (similarity, distance, start, end in words) of each (text, item) that is similar enough.
 
     A candidate is checked at all places where a passage of the item's length
-    may lie, given the window's size and stride.
+    may lie, given the window's size and stride; so is every place that shares
+    enough shingles, whatever its fingerprint.
     """
     data, offsets = text_buffer(texts)
     held = words(data, offsets)
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     tried: set[tuple[int, int, int]] = set()
-    grams = None
-    for text, number, at, size, far in candidates(held, index):
-        if grams is None:
-            grams = _grams(held)
-        hashes, weight, bounds = grams
+    hashes, weight, bounds = _grams(held)
+    word_weight = weights(held.ends - held.starts)
+
+    def check(text: int, number: int, start: int) -> None:
+        item = index.items[number]
+        first, last = int(held.first[text]), int(held.first[text + 1])
+        end = min(start + item.words, last)
+        if (text, number, start) in tried or end - start < SHINGLE_WORDS:
+            return
+        tried.add((text, number, start))
+        low = int(bounds[text]) + start - first
+        high = low + end - start - SHINGLE_WORDS + 1
+        value = similarity(_bag(hashes[low:high], weight[low:high]), item.grams, item.total)
+        if 100 * value >= PERCENT:
+            whole = signed(held.hashes[start:end], word_weight[start:end], np.int64).sum(axis=0)
+            far = int(np.bitwise_count(packed(whole[None, :]) ^ item.print)[0])
+            match = (value, far, start - first, end - first)
+            key = (text, number)
+            if key not in best or (-match[0], *match[1:]) < (-best[key][0], *best[key][1:]):
+                best[key] = match
+
+    for text, number, at, size, _ in candidates(held, index):
         item = index.items[number]
         first, last = int(held.first[text]), int(held.first[text + 1])
         slack = item.words - size + max(1, item.words // STRIDE_PART)
         for start in range(max(first, at - slack), min(at + slack, max(first, last - item.words)) + 1):
-            end = min(start + item.words, last)
-            if (text, number, start) in tried or end - start < SHINGLE_WORDS:
-                continue
-            tried.add((text, number, start))
-            low = int(bounds[text]) + start - first
-            high = low + end - start - SHINGLE_WORDS + 1
-            value = similarity(_bag(hashes[low:high], weight[low:high]), item.grams, item.total)
-            if 100 * value >= PERCENT:
-                match = (value, far, start - first, end - first)
-                key = (text, number)
-                if key not in best or (-match[0], *match[1:]) < (-best[key][0], *best[key][1:]):
-                    best[key] = match
+            check(text, number, start)
+    if len(index.rare):
+        for text, number, starts in places(hashes, weight, bounds, index):
+            for start in starts.tolist():
+                check(text, number, int(held.first[text]) + start)
     return best
 
 
@@ -312,9 +387,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_items: int =
     A passage of a document is a match if the weighted Jaccard similarity of
     its 5-word shingles to those of a whole item is at least 0.75; a shingle
     weighs as much as its words are long, as often as it occurs. The best
-    place is returned. Candidates are windows of the item's size whose 64-bit
-    SimHash is within RADIUS bits of the item's; the blocks of the index show
-    all of those.
+    place is returned, with the bits in which the SimHash of its words differs
+    from the item's. Candidates are windows of the item's size whose 64-bit
+    SimHash is within RADIUS bits of the item's, and all passages that share
+    enough of an item's shingles; so none that is similar enough is left out.
 
     All documents are read once per ``block_items`` items, which is all that
     is sent to the tasks. Nothing is shuffled. Items or texts without five

@@ -131,6 +131,28 @@ def test_contamination_matches_brute_force(spark):
     assert decontaminate.contamination(documents.limit(0), benchmark).collect() == []
 
 
+def test_edits_far_from_the_fingerprint():
+    """Blocks replaced, ends cut off and words put in, down to the least similarity."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 9)))
+    items = [[word() for _ in range(rng.choice([33, 60, 97, 120]))] for _ in range(300)]
+    index = decontaminate.build([(i, " ".join(x)) for i, x in enumerate(items)])
+    texts = []
+    for item in items:
+        n, k = len(item), rng.randint(0, len(item) // 10)
+        at = rng.choice([0, n // 2, n - k])
+        passage = item[:at] + [word() for _ in range(rng.choice([0, k]))] + item[at + k :]
+        texts.append([word() for _ in range(rng.choice([0, 7, 40]))] + passage + [word() for _ in range(40)])
+    want = set()
+    for i, text in enumerate(texts):
+        n, whole = len(items[i]), bag(items[i])
+        best = max(alike(bag(text[s : s + n]), whole) for s in range(len(text) - n + 1))
+        if 100 * best >= 75:
+            want.add((i, i, round(best, 9)))
+    found = decontaminate.search(pa.array([" ".join(t) for t in texts]), index)
+    assert len(want) > 200 and {(*k, round(v[0], 9)) for k, v in found.items()} == want
+
+
 def test_blocks_show_every_print_within_the_radius():
     rng = np.random.default_rng(4)
     index = decontaminate.build([(i, " ".join(f"w{rng.integers(999)}" for _ in range(20))) for i in range(30)])
