@@ -264,11 +264,14 @@ def candidates(held: Words, index: Index) -> Iterator[tuple[int, int, int, int,
         end = min(n, high + widest)
         rows = np.zeros((end - low + 1, BITS), kind)
         np.cumsum(signed(held.hashes[low:end], weight[low:end], kind), axis=0, out=rows[1:])
+        # Windows lie on a grid over each text, from its first word on.
+        own_text = text_of[low:high]
+        within, room = np.arange(low, high) - held.first[own_text], last[low:high] - np.arange(low, high)
         some = np.flatnonzero((held.first[1:] > low) & (held.first[:-1] < high))
         for size in index.sizes:
             step = size.stride
-            starts = np.arange(low, min(high, end - size.size + 1), step)
-            parts = [(starts, starts + size.size, packed(_steps(rows, size.size, step, len(starts))))]
+            at = np.flatnonzero((room >= size.size) & (within % step == 0))
+            parts = [(at + low, at + low + size.size, packed(rows[at + size.size] - rows[at]))]
             # The last window of a text, where steps pass it by, and texts somewhat shorter than a window.
             a, b = held.first[some], held.first[some + 1]
             at = np.maximum(a, b - size.size)
@@ -285,11 +288,6 @@ def candidates(held: Words, index: Index) -> Iterator[tuple[int, int, int, int,
                     yield int(text_of[start]), int(size.items[j]), start, int(ends[i]) - start, int(d)
 
 
-def _steps(rows: np.ndarray, size: int, step: int, n: int) -> np.ndarray:
-    """Sums of n windows, from sums of all prefixes."""
-    return rows[size::step][:n] - rows[: max(0, len(rows) - size) : step][:n]
-
-
 def similarity(one: dict[int, int], two: dict[int, int], total_two: int) -> float:
     """Weighted Jaccard similarity of two bags of shingles."""
     both = sum(min(w, two.get(h, 0)) for h, w in one.items())

@@ -131,6 +131,26 @@ def test_contamination_matches_brute_force(spark):
     assert decontaminate.contamination(documents.limit(0), benchmark).collect() == []
 
 
+def test_windows_lie_on_a_grid_over_each_text():
+    rng = random.Random(10)
+    items = [[f"w{rng.randrange(9999)}" for _ in range(97)] for _ in range(40)]
+    index = decontaminate.build([(i, " ".join(x)) for i, x in enumerate(items)])
+    texts = []
+    for item in items:
+        at = rng.randint(0, 90)
+        item = item[:at] + [f"e{i}" for i in range(4)] + item[at + 4 :]
+        texts.append(" ".join(item + [f"w{rng.randrange(9999)}" for _ in range(rng.randint(0, 60))]))
+
+    def found(some):
+        data, offsets = decontaminate.text_buffer(pa.array(some))
+        held = decontaminate.words(data, offsets)
+        return {(some[t], i, at - int(held.first[t]), n, d) for t, i, at, n, d in decontaminate.candidates(held, index)}
+
+    alone = set().union(*(found([t]) for t in texts))
+    assert found(texts) == found(texts[::-1]) == alone
+    assert {(t, i) for t, i, at, _, _ in alone if at == 0} == {(t, i) for i, t in enumerate(texts)}
+
+
 def test_edits_far_from_the_fingerprint():
     """Blocks replaced, ends cut off and words put in, down to the least similarity."""
     rng = random.Random(9)
