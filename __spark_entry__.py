@@ -59,7 +59,7 @@ def _bigint(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _count_triangles(strategy: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda e: _bigint(fg.triangle_count(e, strategy), "closed_walks", "triangles")
+    return lambda e: _bigint(fg.triangle_count(e, strategy, fall_back=True), "closed_walks", "triangles")
 
 
 def _list_text(df: DataFrame, key: str, out: str) -> DataFrame:

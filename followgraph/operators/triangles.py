@@ -239,15 +239,28 @@ def strategy_for(edges: DataFrame, wanted: str = "auto", max_bytes: int = BROADC
     return wanted
 
 
-def _walks(edges: DataFrame, strategy: str, max_broadcast: int, ranked_nodes: int) -> DataFrame:
-    """One rotation of every closed walk: a, b, c and the copies of its edges."""
+def _walks(
+    edges: DataFrame, strategy: str, max_broadcast: int, ranked_nodes: int, fall_back: bool = False
+) -> DataFrame:
+    """One rotation of every closed walk: a, b, c and the copies of its edges.
+
+    With ``fall_back``, or by ``auto``, a graph that is too large to replicate
+    takes the shuffle join of the same plan; the other side then has no rows.
+    """
+    fall_back = fall_back or strategy == "auto"
     strategy = strategy_for(edges, strategy)
     pairs = collapse(edges)
     if strategy == "shuffle":
         found = _by_shuffle(pairs, ranked_nodes)
     else:
-        small = at_most(pairs, max_broadcast, "use the strategy shuffle")
-        found = (_by_broadcast if strategy == "broadcast" else _by_adjacency)(small, ranked_nodes)
+        replicated = _by_broadcast if strategy == "broadcast" else _by_adjacency
+        columns = ("a", "b", "c", "n_ab", "n_bc", "n_ca")
+        if fall_back:
+            rows = pairs.selectExpr("count(1) AS rows").scalar()
+            found = replicated(pairs.where(rows <= max_broadcast), ranked_nodes).select(*columns)
+            found = found.unionAll(_by_shuffle(pairs.where(rows > max_broadcast), ranked_nodes).select(*columns))
+        else:
+            found = replicated(at_most(pairs, max_broadcast, "use the strategy shuffle"), ranked_nodes)
     return found.select("a", "b", "c", "n_ab", "n_bc", "n_ca")
 
 
@@ -256,14 +269,16 @@ def triangle_count(
     strategy: str = "shuffle",
     max_broadcast: int = BROADCAST_ROWS,
     ranked_nodes: int = RANKED_NODES,
+    fall_back: bool = False,
 ) -> DataFrame:
     """One row: ``closed_walks`` and ``triangles``, zeros for an empty graph.
 
     The plan is the one that is asked for; ``auto`` asks ``strategy_for``.
     ``broadcast`` and ``adjacency`` replicate the distinct edges, so they fail
-    when run on more than ``max_broadcast`` of them. The answers are the same.
+    when run on more than ``max_broadcast`` of them, or, with ``fall_back`` or
+    by ``auto``, shuffle instead. The answers are the same.
     """
-    walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
+    walks = _walks(edges, strategy, max_broadcast, ranked_nodes, fall_back)
     copies = wide_product("n_ab", "n_bc", "n_ca")
     total = wide_sum(f"{copies} * if(a = b, 1, 3)")
     return walks.selectExpr(f"{total} AS closed_walks").selectExpr(
@@ -276,12 +291,13 @@ def closed_walks(
     strategy: str = "shuffle",
     max_broadcast: int = BROADCAST_ROWS,
     ranked_nodes: int = RANKED_NODES,
+    fall_back: bool = False,
 ) -> DataFrame:
     """Every closed walk x -> y -> z -> x from every start, as rows (x, y, z).
 
     A walk appears once per combination of copies of its edges.
     """
-    walks = _walks(edges, strategy, max_broadcast, ranked_nodes)
+    walks = _walks(edges, strategy, max_broadcast, ranked_nodes, fall_back)
     starts = [
         f"named_struct('x', {x}, 'y', {y}, 'z', {z})"
         for x, y, z in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))
@@ -309,7 +325,7 @@ def triangle_edges(edges: DataFrame, strategy: str = "shuffle", **limits: int) -
     )
 
 
-def triangle_walks(edges: DataFrame, strategy: str = "broadcast", **limits: int) -> DataFrame:
+def triangle_walks(edges: DataFrame, strategy: str = "auto", **limits: int) -> DataFrame:
     """Closed walks as start node and text ``x,y,z,x``."""
     return closed_walks(edges, strategy, **limits).selectExpr(
         "x AS src", "concat_ws(',', x, y, z, x) AS walk"

@@ -47,6 +47,14 @@ def test_too_large_to_replicate(edges):
     assert int(fg.triangle_count(edges, "auto").first().closed_walks) == total
 
 
+def test_larger_graphs_fall_back_to_the_shuffle(edges):
+    total = brute.closed_walks(PAIRS).total()
+    for strategy in ("broadcast", "adjacency", "auto"):
+        count = fg.triangle_count(edges, strategy, max_broadcast=10, fall_back=strategy != "auto")
+        assert int(count.first().closed_walks) == total
+    assert fg.triangle_walks(edges, max_broadcast=10).count() == total
+
+
 def test_small_cells_of_the_walk_grid(edges, monkeypatch):
     monkeypatch.setattr(triangles, "LEAST_CELL", 1)
     monkeypatch.setattr(triangles, "CELLS_PER_PARTITION", 1000)
