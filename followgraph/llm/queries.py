@@ -13,9 +13,12 @@ from followgraph.llm import bpe, chat, pii, quality, secrets
 from followgraph.llm.decontaminate import contamination
 from followgraph.llm.near_dedup import near_duplicates
 from followgraph.llm.passages import repeated_passages
+from followgraph.llm.prefix_trie import prefix_trie
 from followgraph.llm.scratch import folder as scratch_folder
+from followgraph.llm.sharding import sharded
 from followgraph.llm.token_file import read_tokens, write_tokens
 from followgraph.llm.top_k import top_k
+from followgraph.llm.whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +109,60 @@ SELECT conv_id, count(*) AS n_turns,
     + CASE WHEN after IS NULL OR after <> role THEN 8 ELSE 7 END) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    # As a long, the deviation is null where it does not fit.
+    return whitened(_table(spark, folder, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharded(_table(spark, folder, "documents"), with_text=False)
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(_table(spark, folder, "conversations"))
+
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+
+PREFIX_TRIE_SQL = f"""WITH k AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, g) AS i FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS chars,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+    FROM conversations WHERE conv_id IS NOT NULL)),
+s AS (SELECT conv_id, count(*) AS n FROM k GROUP BY conv_id),
+c AS (
+  SELECT s.conv_id, s.conv_id - s.conv_id % 100 AS head, {_CRC32.format("s.conv_id")} % 6 AS h FROM s),
+r AS (SELECT c.*, least(h, coalesce(s.n, 0)) AS lent FROM c LEFT JOIN s ON s.conv_id = head),
+t AS (
+  SELECT r.conv_id, i AS d, g, chars FROM r JOIN k ON k.conv_id = head AND i <= h
+  UNION ALL SELECT r.conv_id, lent + i - h, g, chars FROM r JOIN k ON k.conv_id = r.conv_id AND i > h),
+p AS (
+  SELECT r.conv_id, coalesce(list(g ORDER BY d) FILTER (g IS NOT NULL), []) AS gs,
+    coalesce(list(chars ORDER BY d) FILTER (g IS NOT NULL), []) AS cs
+  FROM r LEFT JOIN t ON t.conv_id = r.conv_id GROUP BY r.conv_id),
+m AS (
+  SELECT conv_id, len(gs) AS most, d, array_to_string(gs[1:d], '') AS path,
+    CASE WHEN d = 0 THEN 0 ELSE cs[d] END AS chars
+  FROM (SELECT *, unnest(range(0, len(gs) + 1)) AS d FROM p)),
+v AS (
+  SELECT path, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = most) AS ends
+  FROM m GROUP BY path),
+b AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS n FROM v WHERE d > 0 GROUP BY 1),
+u AS (
+  SELECT left(path, 32 * a) AS path, sum(saved) AS saved, count_if(leaf) AS leaves FROM (
+    SELECT v.path, (v.n - 1) * chars AS saved, b.n IS NULL AS leaf, unnest(range(0, d + 1)) AS a
+    FROM v LEFT JOIN b ON b.path = v.path)
+  GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, o.conv_id AS parent_conv_id, v.n AS n_convs,
+  coalesce(b.n, 0) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN u ON u.path = v.path LEFT JOIN b ON b.path = v.path
+LEFT JOIN v o ON v.d > 0 AND o.path = left(v.path, 32 * (v.d - 1))"""
+
 NEAR_DEDUP_SQL = r"""WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -130,9 +187,9 @@ SELECT doc_id, n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN c O
 
 def queries() -> dict[str, Query]:
     """One entry per operator, over whole tables."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_passages, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_passages, op4_bpe, op5_quality, op6_pii, op7_top_k, op8_token_file, op9_near_dedup, op10_chat, op11_whitening, op12_sharding, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL, where SQL can express them."""
-    return {"op9_near_dedup": NEAR_DEDUP_SQL, "op10_chat": CHAT_SQL, "op7_top_k": TOP_K_SQL}
+    return {"op9_near_dedup": NEAR_DEDUP_SQL, "op10_chat": CHAT_SQL, "op7_top_k": TOP_K_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}

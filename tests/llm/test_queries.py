@@ -31,7 +31,7 @@ def texts(spark):
 def test_all_are_registered():
     names = contract.queries()
     assert set(queries.queries()) | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
