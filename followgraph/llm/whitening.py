@@ -26,6 +26,8 @@ RESIDUAL = 1e-14
 # Directions of no variance, against the largest, can't be scaled to one.
 FLAT = 1e-12
 CHUNK = 1 << 18
+# Tasks that add up the sums of all others.
+MERGERS = 8
 EPS = float(np.finfo(np.float64).eps)
 
 
@@ -50,24 +52,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterat
 def _summed(fit: DataFrame, size: int, each: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum of ``each(block)`` over all blocks of the fit list.
 
-    A task sends one array, whatever its number of rows; arrays are added
-    entry by entry in a shuffle, so the driver gets a single one.
+    A task sends one array, whatever its number of rows; MERGERS tasks add
+    them up, and the driver gets one array of each of those.
     """
 
+    def total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for part in arrays:
+            out = part if out is None else out + part
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float64).tobytes()], pa.binary())], ["v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for block in _blocks(batches, 0, size):
-            part = each(block)
-            total = part if total is None else total + part
-        if total is not None:
-            flat = total.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "v"])
-
-    rows = fit.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(rows))
-    for i, v in rows:
-        out[i] = v
-    return out
+        yield from total(each(block).ravel() for block in _blocks(batches, 0, size))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from total(np.frombuffer(v.as_buffer()) for batch in batches for v in batch.column(0))
+
+    parts = fit.mapInArrow(run, "v binary").repartition(MERGERS).mapInArrow(add, "v binary")
+    return sum(np.frombuffer(bytes(r.v)) for r in parts.collect())
 
 
 def _sums(fit: DataFrame, size: int) -> tuple[int, list[int]]:
