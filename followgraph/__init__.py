@@ -32,9 +32,11 @@ from followgraph.operators.triangles import (
     triangle_walks,
 )
 from followgraph.sources.readers import read_edges, read_two_paths
-from followgraph.sources.sinks import write_result
+from followgraph.sources.sinks import write_answer, write_result
+from followgraph.sources.store import EdgeStore, read_clustered, write_clustered
 
 __all__ = [
+    "EdgeStore",
     "adjacency",
     "aggregate_by_key",
     "close_paths",
@@ -47,6 +49,7 @@ __all__ = [
     "group_count_by_key",
     "in_adjacency",
     "out_adjacency",
+    "read_clustered",
     "read_edges",
     "read_two_paths",
     "reduce_by_key",
@@ -61,5 +64,7 @@ __all__ = [
     "two_path_by_node",
     "two_path_total",
     "two_paths",
+    "write_answer",
+    "write_clustered",
     "write_result",
 ]

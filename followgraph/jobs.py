@@ -97,8 +97,9 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: Sequence[str]) -> int:
     """Run one job; the number of rows written. Any failure raises.
 
-    Prints that number and how many lines of the input were dropped; both are
-    counted in the pass that makes the result.
+    Prints that number and how many lines of the input were dropped, and
+    before it the answer of a job whose result is one value. All are seen in
+    the pass that makes the result.
     """
     args = parser().parse_args(argv)
     if args.job == "close-paths" and not args.paths:
@@ -114,7 +115,11 @@ def run(spark: SparkSession, argv: Sequence[str]) -> int:
     if args.explain:
         result.explain("formatted")
     mode = "overwrite" if args.overwrite else "errorifexists"
-    rows = fg.write_result(result, args.output, job.fmt, mode)
+    if job.fmt == "text":
+        rows, answer = 1, fg.write_answer(result, args.output, mode)
+        print(f"{result.columns[0]}: {answer}")
+    else:
+        rows = fg.write_result(result, args.output, job.fmt, mode)
     seen = lines.get
     print(f"{rows} rows written; {seen['dropped']} of {seen['read']} lines dropped")
     return rows

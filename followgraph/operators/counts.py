@@ -13,6 +13,18 @@ from followgraph.plans.sizing import shuffle_partitions
 
 Merge = Callable[[Column, Column], Column]
 
+# Merges that Spark has as an aggregate, and as a function of two values.
+AGGREGATES: dict[str, tuple[Callable[[Column], Column], Merge]] = {
+    "sum": (F.sum, lambda a, b: a + b),
+    "min": (F.min, lambda a, b: F.least(a, b)),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+    "bit_and": (F.bit_and, lambda a, b: a.bitwiseAND(b)),
+    "bit_or": (F.bit_or, lambda a, b: a.bitwiseOR(b)),
+    "bit_xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b)),
+    "bool_and": (F.bool_and, lambda a, b: a & b),
+    "bool_or": (F.bool_or, lambda a, b: a | b),
+}
+
 # Input tasks whose folded values of a key are folded together.
 TASKS_PER_FOLD = 1_000
 
@@ -51,16 +63,30 @@ def group_count_by_key(
 
 
 def fold_by_key(
-    df: DataFrame, key: str, value: Column, zero: Column, merge: Merge, out: str
+    df: DataFrame, key: str, value: Column, zero: Column, merge: Merge | str, out: str
 ) -> DataFrame:
-    """Fold of ``value`` per key with any associative, commutative ``merge``.
+    """Fold of ``value`` per key with any associative, commutative ``merge``, ``zero`` being neutral for it.
+
+    A merge that is named, one of AGGREGATES, is combined in every task before
+    the one shuffle, which then has a row per key and task. It passes over
+    nulls; a key of nulls alone gives ``zero``.
 
-    ``zero`` must be neutral for ``merge``. A key's values are folded in
-    steps: blocks of rows of an input task, blocks of a task, groups of tasks,
+    Any other merge is a function of two columns, which Spark can't combine as
+    it reads. All values are then shipped, and folded in steps: blocks of rows of an input task, blocks of a task, groups of tasks,
     and these. A collected array therefore holds at most ROWS_PER_BLOCK
     values, the blocks of one input split, TASKS_PER_FOLD values, or one for
     each group of tasks, however hot the key is.
     """
+    if isinstance(merge, str):
+        if merge not in AGGREGATES:
+            raise ValueError(f"merge must be a function or one of {sorted(AGGREGATES)}, not {merge!r}")
+        combined, pair = AGGREGATES[merge]
+        total = combined(F.col("_v"))
+        return (
+            df.select(key, value.alias("_v"))
+            .groupBy(key)
+            .agg(F.when(total.isNull(), zero).otherwise(pair(zero, total)).alias(out))
+        )
     folded = F.reduce(F.collect_list("_v"), zero, merge)
     parts = df.select(
         key, value.alias("_v"), F.spark_partition_id().alias("_task"), F.expr(row_block()).alias("_block")
@@ -109,8 +135,8 @@ def follower_count(
     """Number of edges per ``endpoint`` node, for all nodes or multiples of ``modulus``.
 
     All strategies return the same rows: ``reduce`` and ``dataset`` combine
-    before one shuffle, ``aggregate`` combines in two salted stages, ``fold``
-    folds with a merge function, ``group`` ships every row.
+    before one shuffle, ``fold`` too, by a named merge; ``aggregate`` combines
+    in two salted stages; ``group`` ships every row.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
@@ -124,7 +150,7 @@ def follower_count(
     if strategy == "group":
         return group_count_by_key(edges, key, other, out)
     if strategy == "fold":
-        return fold_by_key(edges, key, one, F.lit(0).cast("bigint"), lambda a, b: a + b, out)
+        return fold_by_key(edges, key, one, F.lit(0).cast("bigint"), "sum", out)
     if strategy == "aggregate":
         return aggregate_by_key(edges, key, other, F.count(F.lit(1)), F.sum, out)
     return edges.groupBy(key).count().withColumnRenamed("count", out)

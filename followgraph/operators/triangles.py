@@ -12,7 +12,7 @@ the middle of the join: its edges are looked up from their other ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from followgraph.functions.columns import (
@@ -24,14 +24,7 @@ from followgraph.functions.columns import (
     wide_sum,
 )
 from followgraph.operators.edges import collapse
-from followgraph.plans.sizing import (
-    BROADCAST_BYTES,
-    BROADCAST_ROWS,
-    at_most,
-    deal_out,
-    estimated_bytes,
-    shuffle_partitions,
-)
+from followgraph.plans.sizing import BROADCAST_BYTES, deal_out, estimated_bytes, shuffle_partitions
 from followgraph.plans.skew import slices_for
 
 STRATEGIES = ("shuffle", "broadcast", "adjacency")
@@ -48,6 +41,9 @@ RANKED_NODES = 1_000_000
 # Walks that may meet at one closing edge before it is replicated to slices.
 CLOSING_ROWS = 100_000
 
+# Entries of one page of a neighbour list.
+PAGE_ENTRIES = 4_096
+
 # The source of an edge, which is no self-loop, ranks below its target.
 UPWARD = """(follower_rank < followee_rank
     OR (follower_rank = followee_rank AND follower < followee))"""
@@ -112,12 +108,11 @@ def _ranked(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     )
 
 
-def _legs(pairs: DataFrame, ranked_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _legs(ranked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The roles of an edge in a walk: a -> b (up), c -> a (down), b -> c (any).
 
     A self-loop can take every role.
     """
-    ranked = _ranked(pairs, ranked_nodes)
     first = ranked.where(f"{UPWARD} OR follower = followee").selectExpr(
         "follower AS a", "followee AS b", "n AS n_ab", "followee_rank AS b_rank"
     )
@@ -143,19 +138,22 @@ def _fan(most: int) -> str:
     return slices_for("least(b_rank, c_rank)", CLOSING_ROWS, most)
 
 
-def _grids(first: DataFrame, last: DataFrame) -> DataFrame:
+def _grids(ranked: DataFrame) -> DataFrame:
     """Nodes whose walks c -> a -> b would weigh on a single task, with their grid.
 
     Ranking bounds up(a) and down(a), the edges on either side, but not their
     product. A node is cut if that is more than an eighth of a partition's
     share of all products; fewer than eight nodes for each partition can be.
+    Every edge counts once, at its lower end; a self-loop is on both sides.
     """
-    sides = first.selectExpr("a", "1L AS _up", "0L AS _down").unionAll(
-        last.selectExpr("a", "0L AS _up", "1L AS _down")
+    sides = ranked.selectExpr(
+        f"IF({UPWARD}, follower, followee) AS a",
+        f"{UPWARD} OR follower = followee AS _ups",
+        f"NOT {UPWARD} AS _downs",
     )
-    nodes = sides.groupBy("a").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
+    nodes = sides.groupBy("a").agg(F.count_if("_ups").alias("_up"), F.count_if("_downs").alias("_down"))
     product = "cast(_up AS double) * cast(_down AS double)"
-    share = f"coalesce(sum({product}), 0D) / {float(CELLS_PER_PARTITION * shuffle_partitions(first))}D"
+    share = f"coalesce(sum({product}), 0D) / {float(CELLS_PER_PARTITION * shuffle_partitions(ranked))}D"
     side = nodes.selectExpr(f"sqrt(greatest({float(LEAST_CELL)}D, {share})) AS side").scalar()
     return nodes.where(F.expr(product) > side * side).select(
         F.col("a").alias("_hot"),
@@ -172,8 +170,27 @@ def _on_grid(leg: DataFrame, grids: DataFrame, end: str, own: str, facing: str)
         f"IF(_hot IS NULL, 0L, {slice_of(own, end)}) AS _own",
         f"{each(f'coalesce({facing}, 1L)')} AS _facing",
     )
-    renamed = {"_own": own, "_facing": facing}
-    return deal_out(spread.withColumnsRenamed(renamed), "a", "_rows", "_columns")
+    return spread.withColumnsRenamed({"_own": own, "_facing": facing})
+
+
+CELL = ("a", "_rows", "_columns")
+
+
+def _sides(pairs: DataFrame, ranked_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges a -> b and c -> a on the grids of their nodes, and closing edges b -> c in slices."""
+    ranked = _ranked(pairs, ranked_nodes)
+    first, last, middle = _legs(ranked)
+    grids = _grids(ranked)
+    ups = _on_grid(first, grids, "b", "_rows", "_columns")
+    downs = _on_grid(last, grids, "c", "_columns", "_rows")
+    closing = middle.selectExpr("b", "c", "n_bc", f"{each(_fan(shuffle_partitions(pairs)))} AS _slice")
+    return ups, downs, closing
+
+
+def _wedges(met: DataFrame) -> DataFrame:
+    """Walks c -> a -> b of one rotation, each with the slice of its closing edge."""
+    fan = _fan(shuffle_partitions(met))
+    return met.where(ONE_ROTATION).selectExpr("a", "b", "c", "n_ab", "n_ca", f"{slice_of(fan, 'a')} AS _slice")
 
 
 def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
@@ -185,44 +202,45 @@ def _by_shuffle(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
     In the second join, the closing edge between two hubs is replicated to a
     few slices and the walks of the pair are dealt out to them.
     """
-    first, last, middle = _legs(pairs, ranked_nodes)
-    fan = _fan(shuffle_partitions(pairs))
-    grids = _grids(first, last)
-    ups = _on_grid(first, grids, "b", "_rows", "_columns")
-    downs = _on_grid(last, grids, "c", "_columns", "_rows")
-    wedges = (
-        ups.join(downs.hint("merge"), ["a", "_rows", "_columns"])
-        .where(ONE_ROTATION)
-        .selectExpr("a", "b", "c", "n_ab", "n_ca", f"{slice_of(fan, 'a')} AS _slice")
-    )
-    closing = middle.selectExpr("b", "c", "n_bc", f"{each(fan)} AS _slice")
-    return wedges.join(closing.hint("merge"), ["b", "c", "_slice"])
+    ups, downs, closing = _sides(pairs, ranked_nodes)
+    met = deal_out(ups, *CELL).join(deal_out(downs, *CELL).hint("merge"), [*CELL])
+    return _wedges(met).join(closing.hint("merge"), ["b", "c", "_slice"])
 
 
 def _by_broadcast(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
-    """The same two joins, with the edges replicated to every task."""
-    first, last, middle = _legs(pairs, ranked_nodes)
-    wedges = first.drop("b_rank").join(F.broadcast(last.drop("c_rank")), "a")
-    closing = F.broadcast(middle.drop("b_rank", "c_rank"))
-    return wedges.where(ONE_ROTATION).join(closing, ["b", "c"])
+    """The same two joins, whose right sides are replicated where they turn out to be small.
+
+    The joins carry no hint. Adaptive execution knows the size of a side once
+    it has been made, and replicates one below the session's threshold
+    (spark.sql.adaptive.autoBroadcastJoinThreshold, else
+    spark.sql.autoBroadcastJoinThreshold) to every task, without moving the
+    other side; a larger one is shuffled and merged. One plan serves any size.
+    """
+    ups, downs, closing = _sides(pairs, ranked_nodes)
+    return _wedges(ups.join(downs, [*CELL])).join(closing, ["b", "c", "_slice"])
 
 
 def _by_adjacency(pairs: DataFrame, ranked_nodes: int) -> DataFrame:
-    """Lists of the edges into a, replicated to every task; each is looked up from b.
+    """Lists of the edges into a, in pages; each page is looked up from the edges a -> b.
 
-    Ranking keeps a list into a short, at most sqrt(2 E) entries. It is read
-    once for every edge a -> b, and the edge b -> c is found by its key: no
-    list of a hub is walked again for each of the hub's edges.
+    A page holds about PAGE_ENTRIES entries at most: a cell of a node's grid
+    is dealt out to as many as that takes. The table of pages is replicated
+    or shuffled by its size, page by page, as in ``_by_broadcast``; the edge
+    b -> c is found by its key, so no list of a hub is walked again for each
+    of the hub's edges.
     """
-    first, last, middle = _legs(pairs, ranked_nodes)
-    into_a = last.groupBy("a").agg(F.expr("collect_list(struct(c, n_ca)) AS into_a"))
-    closing = F.broadcast(middle.drop("b_rank", "c_rank"))
-    return (
-        first.join(F.broadcast(into_a), "a")
-        .selectExpr("a", "b", "n_ab", "inline(into_a)")
-        .where(ONE_ROTATION)
-        .join(closing, ["b", "c"])
+    ups, downs, closing = _sides(pairs, ranked_nodes)
+    entries = F.count(F.lit(1)).over(Window.partitionBy(*CELL))
+    page = f"pmod(xxhash64(c), _entries div {PAGE_ENTRIES}L + 1L) AS _page"
+    pages = (
+        downs.withColumn("_entries", entries)
+        .selectExpr(*CELL, "c", "n_ca", "c_rank", page)
+        .groupBy(*CELL, "_page")
+        .agg(F.expr("collect_list(struct(c, n_ca, c_rank)) AS into_a"))
+        .drop("_page")
     )
+    looked_up = ups.join(pages, [*CELL]).selectExpr("a", "b", "n_ab", "b_rank", "inline(into_a)")
+    return _wedges(looked_up).join(closing, ["b", "c", "_slice"])
 
 
 def strategy_for(edges: DataFrame, wanted: str = "auto", max_bytes: int = BROADCAST_BYTES) -> str:
@@ -239,46 +257,23 @@ def strategy_for(edges: DataFrame, wanted: str = "auto", max_bytes: int = BROADC
     return wanted
 
 
-def _walks(
-    edges: DataFrame, strategy: str, max_broadcast: int, ranked_nodes: int, fall_back: bool = False
-) -> DataFrame:
-    """One rotation of every closed walk: a, b, c and the copies of its edges.
+PLANS = {"shuffle": _by_shuffle, "broadcast": _by_broadcast, "adjacency": _by_adjacency}
 
-    With ``fall_back``, or by ``auto``, a graph that is too large to replicate
-    takes the shuffle join of the same plan; the other side then has no rows.
-    """
-    fall_back = fall_back or strategy == "auto"
-    strategy = strategy_for(edges, strategy)
-    pairs = collapse(edges)
-    if strategy == "shuffle":
-        found = _by_shuffle(pairs, ranked_nodes)
-    else:
-        replicated = _by_broadcast if strategy == "broadcast" else _by_adjacency
-        columns = ("a", "b", "c", "n_ab", "n_bc", "n_ca")
-        if fall_back:
-            rows = pairs.selectExpr("count(1) AS rows").scalar()
-            found = replicated(pairs.where(rows <= max_broadcast), ranked_nodes).select(*columns)
-            found = found.unionAll(_by_shuffle(pairs.where(rows > max_broadcast), ranked_nodes).select(*columns))
-        else:
-            found = replicated(at_most(pairs, max_broadcast, "use the strategy shuffle"), ranked_nodes)
+
+def _walks(edges: DataFrame, strategy: str, ranked_nodes: int) -> DataFrame:
+    """One rotation of every closed walk: a, b, c and the copies of its edges."""
+    found = PLANS[strategy_for(edges, strategy)](collapse(edges), ranked_nodes)
     return found.select("a", "b", "c", "n_ab", "n_bc", "n_ca")
 
 
-def triangle_count(
-    edges: DataFrame,
-    strategy: str = "shuffle",
-    max_broadcast: int = BROADCAST_ROWS,
-    ranked_nodes: int = RANKED_NODES,
-    fall_back: bool = False,
-) -> DataFrame:
+def triangle_count(edges: DataFrame, strategy: str = "shuffle", ranked_nodes: int = RANKED_NODES) -> DataFrame:
     """One row: ``closed_walks`` and ``triangles``, zeros for an empty graph.
 
     The plan is the one that is asked for; ``auto`` asks ``strategy_for``.
-    ``broadcast`` and ``adjacency`` replicate the distinct edges, so they fail
-    when run on more than ``max_broadcast`` of them, or, with ``fall_back`` or
-    by ``auto``, shuffle instead. The answers are the same.
+    ``broadcast`` and ``adjacency`` replicate what is small enough and shuffle
+    the rest, so all give the same answer on a graph of any size.
     """
-    walks = _walks(edges, strategy, max_broadcast, ranked_nodes, fall_back)
+    walks = _walks(edges, strategy, ranked_nodes)
     copies = wide_product("n_ab", "n_bc", "n_ca")
     total = wide_sum(f"{copies} * if(a = b, 1, 3)")
     return walks.selectExpr(f"{total} AS closed_walks").selectExpr(
@@ -286,18 +281,12 @@ def triangle_count(
     )
 
 
-def closed_walks(
-    edges: DataFrame,
-    strategy: str = "shuffle",
-    max_broadcast: int = BROADCAST_ROWS,
-    ranked_nodes: int = RANKED_NODES,
-    fall_back: bool = False,
-) -> DataFrame:
+def closed_walks(edges: DataFrame, strategy: str = "shuffle", ranked_nodes: int = RANKED_NODES) -> DataFrame:
     """Every closed walk x -> y -> z -> x from every start, as rows (x, y, z).
 
     A walk appears once per combination of copies of its edges.
     """
-    walks = _walks(edges, strategy, max_broadcast, ranked_nodes, fall_back)
+    walks = _walks(edges, strategy, ranked_nodes)
     starts = [
         f"named_struct('x', {x}, 'y', {y}, 'z', {z})"
         for x, y, z in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))

@@ -1,32 +1,18 @@
-"""Sizes: what may be replicated, and the number of partitions."""
+"""Sizes: what is expected, and the number of partitions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Largest edge frame, by the estimate in its plan, that is replicated unasked.
 BROADCAST_BYTES = 32 << 20
 
-# Proven ceiling on a replicated edge frame (about 100 MB as a hash table).
-BROADCAST_ROWS = 1_000_000
-
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size that the optimizer expects, from file sizes; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def at_most(df: DataFrame, max_rows: int, advice: str) -> DataFrame:
-    """``df``, or an error when it is run if it has more than ``max_rows`` rows.
-
-    The count is a scalar subquery of the same plan.
-    """
-    rows = df.selectExpr("count(1) AS rows").scalar()
-    problem = F.raise_error(F.lit(f"more than {max_rows} rows to replicate: {advice}"))
-    return df.where(F.when(rows <= max_rows, F.lit(True)).otherwise(problem.cast("boolean")))
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     """Partitions of a shuffle in the frame's session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

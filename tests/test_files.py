@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 
 import followgraph as fg
+from followgraph.sources.scratch import scratch_folder, shared_folder
 from followgraph import jobs
 from graphs import DIRTY, DIRTY_EDGES, HUNDREDS, TINY
 
@@ -184,6 +185,30 @@ def test_every_job_is_tested():
     assert {j[0] for j in JOB_ANSWERS} | {"close-paths"} == set(jobs.JOBS)
 
 
+@pytest.mark.parametrize("job,said", [("triangle-count-adjacency", "triangles: 3"), ("edge-count", "edge_count: 10"), ("two-path-total", "two_paths: 13")])
+def test_jobs_of_one_value_print_it(spark, tmp_path, edge_file, capsys, job, said):
+    assert jobs.run(spark, [job, edge_file(TINY), str(tmp_path / "out")]) == 1
+    assert capsys.readouterr().out.splitlines() == [said, "1 rows written; 0 of 10 lines dropped"]
+
+
+def test_answers_are_one_row(spark, tmp_path):
+    one = spark.createDataFrame([(None,)], "v bigint")
+    assert fg.write_answer(one, str(tmp_path / "a")) is None
+    with pytest.raises(ValueError, match="one row"):
+        fg.write_answer(one.unionAll(one), str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="single column"):
+        fg.write_answer(spark.range(1).selectExpr("id", "id AS b"), str(tmp_path / "c"))
+
+
+def test_scratch_folders_are_shared_or_refused(spark):
+    assert scratch_folder(spark) != scratch_folder(spark)
+    assert shared_folder("hdfs://x/y", "yarn") == "hdfs://x/y"
+    assert shared_folder(None, "local[4]") == shared_folder("", "local")
+    for master in ("yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(None, master)
+
+
 def test_job_refuses_existing_output(spark, tmp_path, edge_file, capsys):
     args = ["edge-count", edge_file(TINY), str(tmp_path / "out")]
     jobs.run(spark, args)

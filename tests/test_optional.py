@@ -23,7 +23,7 @@ def test_queries_load_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
-    assert done.stdout.strip() == "27", done.stderr
+    assert done.stdout.strip() == "41", done.stderr
 
 
 def test_errors_inside_the_subpackage_are_not_hidden(tmp_path):

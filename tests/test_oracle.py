@@ -30,9 +30,10 @@ def con():
 
 def test_every_query_has_sql():
     assert set(contract._graph_queries()) == set(contract._graph_sql())
+    assert set(contract._stored_queries()) == set(contract._stored_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract._graph_queries()))
+@pytest.mark.parametrize("name", sorted(contract._graph_queries() | contract._stored_queries()))
 def test_query_matches_sql(spark, con, name):
     got = contract.queries()[name](spark, str(FOLDER))
     cursor = con.execute(contract.oracle_sql()[name])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections import Counter
 
 import pytest
@@ -39,20 +42,21 @@ def test_closed_walks(edges, strategy):
     assert [tuple(map(int, r)) for r in count.collect()] == [(total, total // 3)]
 
 
-def test_too_large_to_replicate(edges):
-    for strategy in ("broadcast", "adjacency"):
-        with pytest.raises(Exception, match="use the strategy shuffle"):
-            fg.triangle_count(edges, strategy, max_broadcast=10).collect()
-    total = brute.closed_walks(PAIRS).total()
-    assert int(fg.triangle_count(edges, "auto").first().closed_walks) == total
-
-
-def test_larger_graphs_fall_back_to_the_shuffle(edges):
-    total = brute.closed_walks(PAIRS).total()
-    for strategy in ("broadcast", "adjacency", "auto"):
-        count = fg.triangle_count(edges, strategy, max_broadcast=10, fall_back=strategy != "auto")
-        assert int(count.first().closed_walks) == total
-    assert fg.triangle_walks(edges, max_broadcast=10).count() == total
+@pytest.mark.parametrize("threshold", ["-1", "200", "10m"])
+def test_any_size_is_answered_whatever_is_replicated(spark, edges, monkeypatch, threshold):
+    monkeypatch.setattr(triangles, "PAGE_ENTRIES", 2)
+    want = brute.closed_walks(PAIRS)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, threshold)
+        for strategy in ("broadcast", "adjacency", "auto"):
+            assert int(fg.triangle_count(edges, strategy).first().closed_walks) == want.total()
+        assert bag(fg.closed_walks(edges, "adjacency")) == want
+        assert fg.triangle_walks(edges).count() == want.total()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
 
 
 def test_small_cells_of_the_walk_grid(edges, monkeypatch):
@@ -77,7 +81,7 @@ def test_few_hot_middles(edges):
 
 
 def test_hub_is_spread_over_cells(frame):
-    hot = paths._hot_middles(fg.collapse(frame(hub_graph())), 5, 3).collect()
+    hot = paths.hot_middles(fg.collapse(frame(hub_graph())), 5, 3).collect()
     assert 0 in {r["_hot"] for r in hot} and len(hot) <= 6
     # As many slices as there are shuffle partitions, at most.
     hub = next(r for r in hot if r["_hot"] == 0)
@@ -152,6 +156,33 @@ def test_fold_with_another_merge(edges):
     assert dict(map(tuple, lowest.collect())) == want
 
 
+FOLDS = {"sum": sum, "min": min, "max": max, "bit_xor": lambda v: functools.reduce(operator.xor, v)}
+
+
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_named_folds_are_combined_first(edges, name):
+    zero = {"min": 2**62, "max": -(2**62)}.get(name, 0)
+    value = F.col("follower") % 1000
+    got = fg.fold_by_key(edges, "followee", value, F.lit(zero).cast("bigint"), name, "out")
+    held = {}
+    for a, b in PAIRS:
+        held.setdefault(b, []).append(int(math.fmod(a, 1000)))
+    assert dict(map(tuple, got.collect())) == {k: FOLDS[name](v) for k, v in held.items()}
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in shown and "collect_list" not in shown
+
+
+def test_folds_of_flags_and_nulls(spark):
+    df = spark.createDataFrame([(1, True, None), (1, False, 6), (2, None, None), (3, True, 3)], "k int, b boolean, v int")
+    any_, all_ = (fg.fold_by_key(df, "k", F.col("b"), F.lit(z), m, "out") for z, m in ((False, "bool_or"), (True, "bool_and")))
+    assert sorted(map(tuple, any_.collect())) == [(1, True), (2, False), (3, True)]
+    assert sorted(map(tuple, all_.collect())) == [(1, False), (2, True), (3, True)]
+    both = fg.fold_by_key(df, "k", F.col("v"), F.lit(0), "bit_or", "out")
+    assert sorted(map(tuple, both.collect())) == [(1, 6), (2, 0), (3, 3)]
+    with pytest.raises(ValueError):
+        fg.fold_by_key(df, "k", F.col("v"), F.lit(0), "mean", "out")
+
+
 def test_aggregate_with_other_steps(edges):
     highest = fg.aggregate_by_key(
         edges, "followee", "follower", F.max("follower"), F.max, "highest", slices=3
