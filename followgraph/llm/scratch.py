@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="followgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/followgraph-{uuid.uuid4().hex}"
+from followgraph.sources.scratch import scratch_folder as folder
 
 
 def stored(df: DataFrame, place: str | None = None) -> DataFrame:
