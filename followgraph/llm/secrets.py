@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # The same patterns for choosing sample rows; they need not agree to the letter.
 SAMPLE_PATTERN = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
-# The model is fitted on at most this many rows with a base span and as many
-# without, those of smallest hash, none longer than this.
+# Bounds of the sample that a model is fitted on: rows with a base span and as many
+# without, characters of a row, tokens around a span, spans of a row.
 SAMPLE_ROWS = 300
 SAMPLE_CHARS = 20_000
 WINDOW = 40
+SPANS_PER_TEXT = 4
+# Bytes of text, and tokens, whose features and scores are made at once.
+PIECE = 1 << 17
+CHUNK = 1 << 13
 STEPS = 120
 RATE = 0.25
 DECAY = 2e-3
@@ -78,12 +84,47 @@ OFFSETS = np.cumsum([0, *(n for _, n in FEATURES)])
 
 @dataclass
 class Tokens:
-    """Tokens of consecutive texts: bytes from start to end, features, first token of each text."""
+    """Tokens of consecutive texts, in 15 bytes each: start and end byte, own features, word.
+
+    ``first`` is the first token of each text and the number of all; ``size``
+    and ``rate`` are features of the texts. Features of neighbours are looked
+    up when asked for.
+    """
 
     starts: np.ndarray
     ends: np.ndarray
-    features: np.ndarray
+    own: np.ndarray
+    word: np.ndarray
     first: np.ndarray
+    size: np.ndarray
+    rate: np.ndarray
+
+    def features(self, low: int, high: int) -> np.ndarray:
+        """One row per token from number ``low`` to ``high``, with places in the weight table."""
+        here = np.arange(low, high)
+        text = np.searchsorted(self.first, here, "right") - 1
+        begin, end = self.first[text], self.first[text + 1]
+
+        def moved(values: np.ndarray, by: int) -> np.ndarray:
+            """The value of the token ``by`` places on in the same text, else 0."""
+            there = here + by
+            inside = (there >= begin) & (there < end)
+            return np.where(inside, values[np.where(inside, there, low)], 0)
+
+        classes = self.own[:, 1]
+        columns = [
+            *self.own[low:high].T,
+            self.word[low:high],
+            moved(self.word, -1),
+            moved(self.word, -2),
+            moved(self.word, -3),
+            moved(self.word, 1),
+            moved(classes, -1),
+            moved(classes, 1),
+            self.size[text],
+            self.rate[text],
+        ]
+        return np.stack([c.astype(np.int32) + o for c, o in zip(columns, OFFSETS[:-1], strict=True)], axis=1)
 
 
 def _bucket(x: np.ndarray, most: int) -> np.ndarray:
@@ -91,79 +132,120 @@ def _bucket(x: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.floor(2 * np.log2(x + 1)).astype(np.int32), most)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    """Runs of word bytes and runs of marks, with their features. Nothing crosses a text."""
-    table = once("secrets.classes", _byte_classes)
-    kind = table[data]
-    coarse = np.where(kind == SPACE, 0, np.where(kind == MARK, 2, 1)).astype(np.uint8)
-    change = np.ones(len(data), bool)
-    change[1:] = coarse[1:] != coarse[:-1]
-    change[offsets[:-1][offsets[:-1] < len(data)]] = True
-    runs = np.flatnonzero(change)
-    run_ends = np.append(runs[1:], len(data))
-    solid = coarse[runs] > 0
-    starts, ends = runs[solid], run_ends[solid]
-    first = np.searchsorted(starts, offsets)
-    n = len(starts)
-    if not n:
-        return Tokens(starts, ends, np.empty((0, len(FEATURES)), np.int32), first)
+def _own(length: np.ndarray, held: list[np.ndarray], turns: np.ndarray, hexes: np.ndarray, sums: np.ndarray):
+    """Own features and word of tokens, from counts of their bytes' classes."""
+    digits = held[DIGIT]
+    columns = [
+        _bucket(length, 15),
+        sum((h > 0).astype(np.int32) << i for i, h in enumerate(held)),
+        np.where(digits > 0, 1 + np.minimum(10 * digits // length, 10), 0),
+        np.minimum(turns, 15),
+        np.where(hexes == length, 17 + _bucket(length, 16), _bucket(hexes, 16)),
+    ]
+    word = (mix(sums + length.astype(np.uint64)) % np.uint64(WORD_SLOTS - 2)).astype(np.uint16) + np.uint16(2)
+    return np.stack(columns, axis=1).astype(np.uint8), word
+
+
+# The order of ``held``; a mark comes last there, and digits at their own number.
+HELD = (LOWER, UPPER, DIGIT, SIGN, FOREIGN, MARK)
+
+
+def _piece(data: np.ndarray, kind: np.ndarray, change: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Own features, words and digits of all tokens of a piece, by running sums."""
 
     def count(flags: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(data) + 1, np.int32)
         np.cumsum(flags, out=sums[1:])
         return sums[ends] - sums[starts]
 
-    length = ends - starts
-    held = [count(kind == k) for k in (LOWER, UPPER, DIGIT, SIGN, FOREIGN, MARK)]
-    classes = sum((h > 0).astype(np.int32) << i for i, h in enumerate(held))
-    digits = held[2]
+    held = [count(kind == k) for k in HELD]
     turns = np.zeros(len(data), bool)
     turns[1:] = (kind[1:] != kind[:-1]) & ~change[1:]
     hexes = count((kind == DIGIT) | ((data >= 97) & (data <= 102)))
-    folded = np.where(kind == UPPER, data + 32, data).astype(np.uint64)
+    marks = mix(np.where(kind == UPPER, data + 32, data).astype(np.uint64) + np.uint64(1))
     place = np.arange(len(data), dtype=np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
     # A word's hash depends on its bytes and on their places in the word.
-    np.cumsum(mix(folded + np.uint64(1)) * (np.uint64(2) * place + np.uint64(1)), out=sums[1:])
-    plain = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(folded + np.uint64(1)), out=plain[1:])
+    sums, plain = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(marks * (np.uint64(2) * place + np.uint64(1)), out=sums[1:])
+    np.cumsum(marks, out=plain[1:])
     here = sums[ends] - sums[starts] - (plain[ends] - plain[starts]) * (np.uint64(2) * starts.astype(np.uint64))
-    word = (mix(here + length.astype(np.uint64)) % np.uint64(WORD_SLOTS - 2)).astype(np.int32) + 2
+    return *_own(ends - starts, held, count(turns), hexes, here), held[DIGIT]
 
-    text = np.searchsorted(offsets, starts, "right") - 1
 
-    def moved(values: np.ndarray, by: int) -> np.ndarray:
-        """The value of the token ``by`` places on in the same text, else 0."""
-        out = np.zeros(n, np.int32)
-        if abs(by) < n:
-            if by < 0:
-                out[-by:] = np.where(text[-by:] == text[:by], values[:by], 0)
-            else:
-                out[:-by] = np.where(text[:-by] == text[by:], values[by:], 0)
-        return out
+def _long_token(data: np.ndarray):
+    """The same of a single token of any length, block by block."""
+    table = once("secrets.classes", _byte_classes)
+    counts, turns, hexes, before = np.zeros(7, np.int64), 0, 0, None
+    sums = np.zeros(1, np.uint64)
+    for at in range(0, len(data), PIECE):
+        part = data[at : at + PIECE]
+        kind = table[part]
+        counts += np.bincount(kind, minlength=7)
+        turns += int((kind[1:] != kind[:-1]).sum()) + (before is not None and kind[0] != before)
+        hexes += int(((kind == DIGIT) | ((part >= 97) & (part <= 102))).sum())
+        marks = mix(np.where(kind == UPPER, part + 32, part).astype(np.uint64) + np.uint64(1))
+        place = np.arange(at, at + len(part), dtype=np.uint64)
+        sums += (marks * (np.uint64(2) * place + np.uint64(1))).sum(dtype=np.uint64)
+        before = kind[-1]
+    held = [counts[k : k + 1] for k in HELD]
+    return *_own(np.array([len(data)]), held, np.array([turns]), np.array([hexes]), sums), held[DIGIT]
+
 
-    share = np.where(digits > 0, 1 + np.minimum(10 * digits // length, 10), 0)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    """Runs of word bytes and runs of marks, with their features. Nothing crosses a text.
+
+    The bytes are gone through in pieces of PIECE, cut between runs, so only
+    the compact result grows with a text. The result does not depend on PIECE.
+    """
+    table = once("secrets.classes", _byte_classes)
+    texts, total = len(offsets) - 1, len(data)
+    parts: list[tuple] = []
+    digits = np.zeros(texts, np.int64)
+    low = 0
+    while low < total:
+        high = min(low + PIECE, total)
+        kind = table[data[low:high]]
+        coarse = np.where(kind == SPACE, 0, np.where(kind == MARK, 2, 1)).astype(np.uint8)
+        change = np.ones(high - low, bool)
+        change[1:] = coarse[1:] != coarse[:-1]
+        cuts = offsets[np.searchsorted(offsets, low, "right") : np.searchsorted(offsets, high)]
+        change[cuts - low] = True
+        runs = np.flatnonzero(change)
+        if high < total and len(runs) > 1:
+            # The last run may go on: it opens the next piece.
+            runs, high = runs[:-1], low + int(runs[-1])
+        elif high < total:
+            limit = int(offsets[np.searchsorted(offsets, low, "right")])
+            while high < limit:
+                more = table[data[high : min(high + PIECE, limit)]]
+                other = np.flatnonzero(np.where(more == SPACE, 0, np.where(more == MARK, 2, 1)) != coarse[0])
+                high += int(other[0]) if len(other) else len(more)
+                if len(other):
+                    break
+        ends = np.append(runs[1:], high - low)
+        solid = coarse[runs] > 0
+        starts, ends = runs[solid], ends[solid]
+        if len(starts):
+            size = high - low
+            if size > PIECE:
+                found = _long_token(data[low:high])
+            else:
+                found = _piece(data[low:high], kind[:size], change[:size], starts, ends)
+            text = np.searchsorted(offsets, starts + low, "right") - 1
+            digits += np.bincount(text, weights=found[2], minlength=texts).astype(np.int64)
+            parts.append(((starts + low).astype(np.int32), (ends + low).astype(np.int32), *found[:2]))
+        low = high
+    if not parts:
+        none = np.empty(0, np.int32)
+        parts = [(none, none, np.empty((0, 5), np.uint8), np.empty(0, np.uint16))]
+    starts, ends, own, word = (np.concatenate(column) for column in zip(*parts, strict=True))
+    first = np.searchsorted(starts, offsets)
     size = np.diff(first)
-    file_digits = np.add.reduceat(np.append(digits, 0), np.minimum(first[:-1], n)) * (size > 0)
-    rate = np.where(size > 0, file_digits / np.maximum(size, 1), 0)
-    columns = [
-        _bucket(length, 15),
-        classes,
-        share,
-        np.minimum(count(turns), 15),
-        np.where(hexes == length, 17 + _bucket(length, 16), _bucket(hexes, 16)),
-        word,
-        moved(word, -1),
-        moved(word, -2),
-        moved(word, -3),
-        moved(word, 1),
-        moved(classes, -1),
-        moved(classes, 1),
-        _bucket(size, 23)[text],
-        np.minimum((8 * rate).astype(np.int32), 7)[text],
-    ]
-    features = np.stack([c.astype(np.int32) + o for c, o in zip(columns, OFFSETS[:-1], strict=True)], axis=1)
-    return Tokens(starts, ends, features, first)
+    rate = np.where(size > 0, digits / np.maximum(size, 1), 0)
+    return Tokens(
+        starts, ends, own, word, first,
+        _bucket(size, 23).astype(np.uint8), np.minimum((8 * rate).astype(np.int64), 7).astype(np.uint8),
+    )
 
 
 @dataclass
@@ -233,27 +315,50 @@ def fit(windows: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(weights.astype(np.float32), pairs + ruled, start + ruled_start)
 
 
+def best_path(chunks: Iterable[np.ndarray], model: Model) -> bytearray:
+    """The best tags of one text, whose scores come in chunks; of equal paths the one of smaller tags, from the end.
+
+    Kept per token is one byte, the best tag before each of its three.
+    """
+    (p00, p01, p02), (p10, p11, p12), (p20, p21, p22) = model.pairs.tolist()
+    back = bytearray()
+    best = None
+    for chunk in chunks:
+        for s0, s1, s2 in chunk.tolist():
+            if best is None:
+                best = [s + a for s, a in zip((s0, s1, s2), model.start.tolist(), strict=True)]
+                back.append(0)
+                continue
+            b0, b1, b2 = best
+            x, y, z = b0 + p00, b1 + p10, b2 + p20
+            f0, n0 = ((0, x) if x >= z else (2, z)) if x >= y else ((1, y) if y >= z else (2, z))
+            x, y, z = b0 + p01, b1 + p11, b2 + p21
+            f1, n1 = ((0, x) if x >= z else (2, z)) if x >= y else ((1, y) if y >= z else (2, z))
+            x, y, z = b0 + p02, b1 + p12, b2 + p22
+            f2, n2 = ((0, x) if x >= z else (2, z)) if x >= y else ((1, y) if y >= z else (2, z))
+            back.append(f0 | f1 << 2 | f2 << 4)
+            best = [n0 + s0, n1 + s1, n2 + s2]
+    if best is None:
+        return back
+    tag = best.index(max(best))
+    for at in range(len(back) - 1, -1, -1):
+        back[at], tag = tag, back[at] >> 2 * tag & 3
+    return back
+
+
 def viterbi(scores: np.ndarray, model: Model) -> list[int]:
     """The best tags of one text."""
-    pairs = model.pairs.tolist()
-    rows = scores.tolist()
-    best = [a + b for a, b in zip(rows[0], model.start.tolist(), strict=True)]
-    back = []
-    for row in rows[1:]:
-        came, now = [], []
-        for tag in range(3):
-            options = [best[p] + pairs[p][tag] for p in range(3)]
-            top = max(options)
-            came.append(options.index(top))
-            now.append(top + row[tag])
-        back.append(came)
-        best = now
-    tag = best.index(max(best))
-    out = [tag]
-    for came in reversed(back):
-        tag = came[tag]
-        out.append(tag)
-    return out[::-1]
+    return list(best_path([scores], model))
+
+
+def _scored(held: Tokens, model: Model, low: int, high: int) -> Iterator[np.ndarray]:
+    """Scores of the three tags of tokens ``low`` to ``high``, a chunk at a time."""
+    for at in range(low, high, CHUNK):
+        features = held.features(at, min(at + CHUNK, high))
+        scores = np.zeros((len(features), 3), np.float32)
+        for column in features.T:
+            scores += model.weights[column]
+        yield scores
 
 
 def _hopeful(scores: np.ndarray, model: Model) -> np.ndarray:
@@ -287,14 +392,23 @@ def _silver(text: str) -> list[tuple[int, int]]:
     return [(len(text[:s].encode()), len(text[:e].encode())) for s, e in found]
 
 
-def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def train(
+    documents: DataFrame,
+    sample_rows: int = SAMPLE_ROWS,
+    sample_chars: int = SAMPLE_CHARS,
+    spans_per_text: int = SPANS_PER_TEXT,
+    window: int = WINDOW,
+) -> Model | None:
     """A model fitted to what the base patterns find; None where they find nothing.
 
-    The sample is bounded: at most ``sample_rows`` texts with a base span and
-    as many without, of at most SAMPLE_CHARS characters. In every other window
-    the neighbouring words are hidden, so that shape alone tells too.
+    The sample is bounded by its parameters: at most ``sample_rows`` texts
+    with a base span and as many without, of at most ``sample_chars``
+    characters, those of smallest hash. Of a text at most ``spans_per_text``
+    base spans count, chosen by a hash of their place, each with the
+    ``window`` tokens around it. In every other window the neighbouring words
+    are hidden, so that shape alone tells too.
     """
-    texts = documents.select("text").where(F.length("text").between(1, SAMPLE_CHARS))
+    texts = documents.select("text").where(F.length("text").between(1, sample_chars))
     hashed = texts.withColumn("hash", F.xxhash64("text"))
     chosen: list[int] = []
     for found in (True, False):
@@ -315,49 +429,66 @@ def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
             own = own[tags[own] == OUT]
             tags[own] = INSIDE
             tags[own[:1]] = BEGIN
-        marked = np.flatnonzero(tags == BEGIN)[:4]
+        marked = np.flatnonzero(tags == BEGIN)
+        marked = np.sort(marked[np.argsort(mix(marked.astype(np.uint64)))[:spans_per_text]])
         for at in marked if len(marked) else (len(tags) // 3, 2 * len(tags) // 3):
-            low = max(0, at - WINDOW // 2)
-            part = held.features[low : low + WINDOW].copy()
+            low = max(0, int(at) - window // 2)
+            part = held.features(low, min(low + window, len(tags)))
             if len(part):
                 if len(windows) % 2:
                     part[:, words] = OFFSETS[:-1][words]
-                windows.append((part, tags[low : low + WINDOW]))
+                windows.append((part, tags[low : low + window]))
     return fit(windows) if any(t.any() for _, t in windows) else None
 
 
+def _stretches(tags: bytearray) -> Iterator[tuple[int, int]]:
+    """(first, end) of every tagged stretch."""
+    at = tags.find(BEGIN)
+    while at >= 0:
+        stop = at + 1
+        while stop < len(tags) and tags[stop] == INSIDE:
+            stop += 1
+        yield at, stop
+        at = tags.find(BEGIN, stop)
+
+
+def _characters(raw: np.ndarray) -> int:
+    """Code points of UTF-8 bytes, counted in blocks."""
+    return sum(int(((raw[at : at + PIECE] & 0xC0) != 0x80).sum()) for at in range(0, len(raw), PIECE))
+
+
 def find(texts: list[str], model: Model | None) -> list[list[tuple[str, int, int]]]:
-    """All spans of every text: base spans, and those the model adds clear of them."""
+    """All spans of every text: base spans, and those the model adds clear of them.
+
+    Besides the texts, some 20 bytes a token are held and what a piece or a
+    chunk takes, also of a very long text.
+    """
     spans = [base_spans(text) for text in texts]
     if model is None or not texts:
         return spans
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
     held = tokens(data, offsets)
-    if not len(held.starts):
-        return spans
-    scores = np.zeros((len(held.starts), 3), np.float32)
-    for column in held.features.T:
-        scores += model.weights[column]
-    hopeful = np.flatnonzero(_hopeful(scores, model))
-    for i in np.unique(np.searchsorted(held.first, hopeful, "right") - 1):
-        a, b = held.first[i], held.first[i + 1]
-        tags = viterbi(scores[a:b], model)
+    at, hopeful = 0, []
+    for scores in _scored(held, model, 0, len(held.starts)):
+        some = np.flatnonzero(_hopeful(scores, model)) + at
+        hopeful.append(np.unique(np.searchsorted(held.first, some, "right") - 1))
+        at += len(scores)
+    for i in np.unique(np.concatenate(hopeful)) if hopeful else ():
+        a, b = int(held.first[i]), int(held.first[i + 1])
         raw = data[offsets[i] : offsets[i + 1]]
-        at = 0
-        while at < len(tags):
-            if tags[at] != BEGIN:
-                at += 1
-                continue
-            stop = at + 1
-            while stop < len(tags) and tags[stop] == INSIDE:
-                stop += 1
-            low, high = held.starts[a + at] - offsets[i], held.ends[a + stop - 1] - offsets[i]
-            start = len(raw[:low].tobytes().decode())
-            end = start + len(raw[low:high].tobytes().decode())
-            clear = all(end <= s or e <= start for _, s, e in spans[i])
-            if clear and end - start >= LEAST_CHARS:
+        covered = sorted((s, e) for _, s, e in spans[i])
+        starts = [s for s, _ in covered]
+        reach = list(accumulate((e for _, e in covered), max))
+        byte = place = 0
+        for one, two in _stretches(best_path(_scored(held, model, a, b), model)):
+            low, high = int(held.starts[a + one] - offsets[i]), int(held.ends[a + two - 1] - offsets[i])
+            start = place + _characters(raw[byte:low])
+            end = start + _characters(raw[low:high])
+            byte, place = high, end
+            # Of base spans that start before its end, the one that reaches farthest must end before it.
+            known = bisect_left(starts, end)
+            if end - start >= LEAST_CHARS and (not known or reach[known - 1] <= start):
                 spans[i].append((ADDED, start, end))
-            at = stop
         spans[i].sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
 
