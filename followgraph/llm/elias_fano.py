@@ -9,6 +9,8 @@ import numpy as np
 SAMPLE = 256
 HEAD = "<QQBxxxxxxxQQ"
 ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+# The place of the first, second, ... set bit of every byte.
+NTH = np.array([([j for j in range(8) if b >> j & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -66,6 +68,24 @@ class EliasFano:
             low |= (int(self.lows[bit >> 3]) >> (bit & 7) & 1) << j
         return (place - i) << self.width | low
 
+    def selects(self, ranks: np.ndarray) -> np.ndarray:
+        """Values of all these numbers, each found by select; nothing else is decoded.
+
+        A rank's byte among the unary bits is looked up from their running
+        counts, its bit in the byte in a table.
+        """
+        ranks = np.asarray(ranks, np.int64)
+        counts = ONES[self.highs]
+        reach = np.cumsum(counts, dtype=np.int64)
+        byte = np.searchsorted(reach, ranks, "right")
+        inside = ranks - reach[byte] + counts[byte]
+        place = (byte << 3) + NTH[self.highs[byte], inside]
+        out = (place - ranks).astype(np.uint64) << np.uint64(self.width)
+        for j in range(self.width):
+            bit = ranks * self.width + j
+            out |= (self.lows[bit >> 3] >> (bit & 7).astype(np.uint8) & np.uint8(1)).astype(np.uint64) << np.uint64(j)
+        return out
+
     def all(self) -> np.ndarray:
         """All values."""
         unary = np.unpackbits(self.highs, bitorder="little")

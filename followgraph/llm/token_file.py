@@ -22,9 +22,9 @@ MAGIC = b"FGTOKEN1"
 HEAD = "<8sQQQqB7x"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-MEMO = 250_000
+MEMO = 350_000
 MARKS = tuple(".,;:!?")
-SEGMENTS = "part int, segment int, n_docs bigint, n_ids bigint, payload binary"
+SEGMENTS = "part int, segment int, n_docs bigint, n_ids bigint, before bigint, payload binary"
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], wide: bool) -> bytes:
@@ -54,8 +54,13 @@ class Segment:
         self.ids = np.frombuffer(data, "<u4" if width == 4 else "<u2", self.n_ids, self.ends.end)
 
     def doc_ids(self) -> list[int | None]:
-        names = (self.names.all() + np.uint64(self.base & (2**64 - 1))).view(np.int64)
-        return [None] * self.n_null + names.tolist()
+        names = self.names.selects(np.arange(self.names.n)) + np.uint64(self.base & (2**64 - 1))
+        return [None] * self.n_null + names.view(np.int64).tolist()
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """First id and end of every document of this segment, by select."""
+        ends = self.ends.selects(np.arange(self.n_docs)).view(np.int64)
+        return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document number i of this segment: two selects and a slice."""
@@ -100,19 +105,37 @@ class _Tokenizer:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.chunks) > MEMO:
             self.chunks.clear()
-        new = {chunk for chunks in split for chunk in chunks}.difference(self.chunks)
-        parts = {}
-        for chunk in new:
+        known, out, late = self.chunks, [], []
+        for i, chunks in enumerate(split):
+            try:
+                out.append(b"".join(map(known.__getitem__, chunks)))
+            except KeyError:
+                out.append(b"")
+                late.append(i)
+        new = set()
+        for i in late:
+            new.update(split[i])
+        parts, odd = {}, []
+        for chunk in new.difference(known):
             word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
             if word.isascii():
-                parts[chunk] = (word.lower(), mark) if word.isalpha() else (chunk, "")
+                plain = word.isalpha()
+                parts[chunk] = (word.lower(), mark) if plain else (chunk, "")
             else:
                 plain = unicodedata.normalize("NFC", word).lower().isalpha()
                 parts[chunk] = (word, mark) if plain else (chunk, "")
+            if not plain:
+                odd.append(chunk)
         self._learn({x for pair in parts.values() for x in pair})
         for chunk, (word, mark) in parts.items():
-            self.chunks[chunk] = self.words[word] + self.words[mark]
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+            known[chunk] = self.words[word] + self.words[mark]
+        for i in late:
+            out[i] = b"".join(map(known.__getitem__, split[i]))
+        # Numbers, addresses and the like seldom come again.
+        for chunk in odd:
+            del known[chunk]
+            self.words.pop(chunk, None)
+        return out
 
 
 def write_tokens(
@@ -126,7 +149,8 @@ def write_tokens(
 
     Documents are in ascending order of doc_id: first without one, then by
     doc_id, equal ones by text. The folder is a Parquet table with one row per
-    segment (part, segment, n_docs, n_ids, payload); payloads are the format
+    segment (part, segment, n_docs, n_ids, before, payload); ``before`` counts
+    the ids of the part's earlier segments, payloads are the format
     of ``pack_segment``, of about ``segment_ids`` ids, so no task holds more
     than that and one document. Spark's commit protocol makes the write safe
     against lost executors and works on any file system.
@@ -140,7 +164,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = once(("tokenizer", tokenizer), lambda: _Tokenizer(tokenizer))
         end = np.array([end_id], coder.kind)
-        part, number, size = TaskContext.get().partitionId(), 0, 0
+        part, number, size, before = TaskContext.get().partitionId(), 0, 0, 0
         names: list[int | None] = []
         ids: list[np.ndarray] = []
 
@@ -152,9 +176,10 @@ def write_tokens(
                     pa.array([number], pa.int32()),
                     pa.array([len(names)], pa.int64()),
                     pa.array([size], pa.int64()),
+                    pa.array([before], pa.int64()),
                     pa.array([payload], pa.binary()),
                 ],
-                ["part", "segment", "n_docs", "n_ids", "payload"],
+                ["part", "segment", "n_docs", "n_ids", "before", "payload"],
             )
 
         for piece in slices(batches):
@@ -163,7 +188,7 @@ def write_tokens(
                 own = np.concatenate([np.frombuffer(packed, coder.kind), end])
                 if names and size + len(own) > segment_ids:
                     yield row()
-                    names, ids, number, size = [], [], number + 1, 0
+                    names, ids, number, before, size = [], [], number + 1, before + size, 0
                 names.append(name)
                 ids.append(own)
                 size += len(own)
@@ -180,20 +205,17 @@ def read_tokens(spark: SparkSession, place: str) -> DataFrame:
     little-endian unsigned 32-bit integers, and the checksum is theirs.
     """
     files = spark.read.schema(SEGMENTS).parquet(place)
-    # The running sum is over parts (one row for each), then over a part's segments.
+    # One row for each task that wrote, so the running sum over them is small, and may be broadcast.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")
-    bases = parts.select("part", before.alias("base"))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")
-    starts = files.select("part", "segment", inside.alias("inside"))
-    placed = starts.join(bases, "part").selectExpr("part", "segment", "base + inside AS base")
+    earlier = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")
+    bases = parts.select("part", earlier.alias("base"))
+    placed = files.join(F.broadcast(bases), "part").selectExpr("base + before AS base", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 segment = Segment(payload.as_py())
-                ends = segment.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                starts, ends = segment.bounds()
                 packed = [segment.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -207,4 +229,4 @@ def read_tokens(spark: SparkSession, place: str) -> DataFrame:
                 )
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
-    return files.join(placed, ["part", "segment"]).select("base", "payload").mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)

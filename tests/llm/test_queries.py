@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import pathlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -73,8 +74,9 @@ def test_token_queries_match_libraries(spark, texts):
     model = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
     start = 0
     for r in queries.op8_token_file(spark, FOLDER).orderBy("doc_id").collect():
-        n = 1 + len(model.encode(texts[r.doc_id], add_special_tokens=False).ids)
-        assert (r.start, r.n_tokens) == (start, n)
+        ids = [*model.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        n = len(ids)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, n, zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += n
 
 

@@ -138,3 +138,13 @@ def test_empty_files(spark, tmp_path):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     token_file.write_tokens(frame, str(tmp_path / "t"), P.path("word_bpe_49k.json"))
     assert token_file.read_tokens(spark, str(tmp_path / "t")).collect() == []
+
+
+def test_selects_of_many_numbers():
+    rng = np.random.default_rng(8)
+    for n, top in ((0, 1), (1, 0), (5, 3), (1000, 50), (3000, 1 << 40)):
+        values = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
+        coded = elias_fano.EliasFano(elias_fano.encode(values))
+        ranks = rng.permutation(n)
+        assert (coded.selects(ranks) == values[ranks]).all()
+        assert [coded.select(int(i)) for i in ranks[:50]] == values[ranks[:50]].tolist()
