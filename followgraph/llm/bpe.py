@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from followgraph.llm.worker import once, slices
 
 # Entries of one memo; a full memo is emptied, so memory is bounded.
-MEMO = 300_000
+MEMO = 200_000
 NEVER = 1 << 62
 # A mark that ends a word is a match of its own.
 MARKS = tuple(".,;:!?")

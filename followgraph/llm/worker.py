@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -14,13 +16,26 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 
+# Values that a worker process keeps: as many as one task needs. Those of an earlier stage go.
+KEPT = 2
+
+
 def once(key: Any, make: Callable[[], Any]) -> Any:
-    """``make()``, kept for the life of the worker process."""
+    """``make()``, kept by the worker process until KEPT others have been asked for since."""
     kept = sys.modules.setdefault("_followgraph_worker", types.ModuleType("_followgraph_worker"))
     values = kept.__dict__.setdefault("values", {})
-    if key not in values:
-        values[key] = make()
-    return values[key]
+    value = values.pop(key) if key in values else make()
+    values[key] = value
+    while len(values) > KEPT:
+        del values[next(iter(values))]
+    return value
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +56,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``size`` bytes of text."""
+    """The same rows in slices of about ``size`` bytes of text. Free memory is given back at the end."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         _, offsets = text_buffer(column)
@@ -51,3 +66,4 @@ def slices(
             stop = min(max(stop, start + 1), n)
             yield batch.slice(start, stop - start)
             start = stop
+    release()
