@@ -22,7 +22,7 @@ MAGIC = b"FGTOKEN1"
 HEAD = "<8sQQQqB7x"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-MEMO = 350_000
+MEMO = 600_000
 MARKS = tuple(".,;:!?")
 SEGMENTS = "part int, segment int, n_docs bigint, n_ids bigint, before bigint, payload binary"
 
