@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from followgraph.llm import decontaminate, passages
@@ -289,6 +290,28 @@ def test_passages_with_a_word_put_in(spark):
     assert {(r.other_id, r.doc_id) for r in got} == {(2 * i, 2 * i + 1) for i in range(400)}
 
 
+@pytest.mark.parametrize("put_in", [True, False])
+def test_near_repeats_among_documents_that_hold_most_of_them(spark, put_in):
+    """24 other documents hold 38 of the 51 words of each passage, half of them before its first holder."""
+    rng = random.Random(9)
+
+    def around(found):
+        before, after = ([f"x{rng.random()}" for _ in range(30)] for _ in range(2))
+        return " ".join(before + found + after)
+
+    docs, want = [], set()
+    for i in range(40):
+        one = [f"p{i}.{j}" for j in range(51)]
+        two = one[:25] + ["more"] + one[25:] if put_in else one[:24] + ["this", "that"] + one[26:]
+        for full in (one, two):
+            for at in rng.choices([0, 13], k=12):
+                docs.append((len(docs), around(one[at : at + 38])))
+            docs.append((len(docs), around(full)))
+        want.add((docs[-1][0], docs[-14][0]))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want
+
+
 def test_large_group_of_copies_gives_few_rows(spark):
     text = " ".join(f"c{i}" for i in range(120))
     frame = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string")
