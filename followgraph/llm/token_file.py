@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from followgraph.llm import elias_fano
+from followgraph.llm.scratch import shuffles_dropped
 from followgraph.llm.worker import once, slices
 
 MAGIC = b"FGTOKEN1"
@@ -195,7 +196,8 @@ def write_tokens(
         if names:
             yield row()
 
-    in_order.mapInArrow(run, SEGMENTS).write.parquet(place)
+    with shuffles_dropped(documents.sparkSession):
+        in_order.mapInArrow(run, SEGMENTS).write.parquet(place)
 
 
 def read_tokens(spark: SparkSession, place: str) -> DataFrame:
