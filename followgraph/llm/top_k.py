@@ -18,6 +18,8 @@ SCALE = 256
 # Room for rounding in a bound that is computed in floating point.
 SLACK = 1e-9
 EXACT = 2.0**53
+# A floor that every score reaches.
+LEAST = -(2**63)
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
@@ -115,7 +117,8 @@ def _answers(shard: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
         if len(some):
             tree = BallTree(rows["vec_id"].to_numpy(np.int64), _matrix(rows["embedding"]))
             queries = _matrix(some["embedding"])
-            ids, floors = some["vec_id"].to_numpy(np.int64), some["floor"].to_numpy(np.float64)
+            # Whole numbers: above 2^53 a rounded floor could pass over a score that reaches it.
+            ids, floors = some["vec_id"].to_numpy(np.int64), some["floor"].to_numpy(np.int64).tolist()
             for i, bounds in enumerate(tree.bounds(queries)):
                 found = tree.search(queries[i], int(ids[i]), bounds, k, floors[i])
                 out += [(int(ids[i]), vec, score) for score, vec in found]
@@ -162,32 +165,31 @@ def top_k(
     total, queries = rows.agg(F.count("*"), F.count_if("asked")).first()
     shards = max(1, -(-total // shard_rows))
     blocks = max(1, -(-queries // query_rows))
-    shard_of = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    # Long like the numbers that are generated below: keys of two types would not meet in one partition.
+    shard_of = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("bigint")
     dealt = rows.distinct().withColumn("shard", shard_of)
 
     def home(group: pd.DataFrame) -> pd.DataFrame:
-        some = group[group["asked"]].assign(floor=float("-inf"))
+        some = group[group["asked"]].assign(floor=LEAST)
         return _answers(group, some, k)
 
     near = stored(dealt.groupBy("shard").applyInPandas(home, FOUND))
-    floors = near.groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor")
-    )
+    floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     wanted = (
         dealt.where("asked")
         .join(floors, F.col("vec_id") == F.col("query_id"), "left")
         .select(
             F.col("vec_id").alias("vec_id"),
             F.col("embedding").alias("embedding"),
-            F.coalesce("floor", F.lit(float("-inf"))).alias("floor"),
+            F.expr(f"coalesce(floor, {LEAST + 1}L - 1L)").alias("floor"),
             F.col("shard").alias("own"),
-            F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).alias("block"),
+            F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("bigint").alias("block"),
         )
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .withColumn("shard", F.expr(f"explode(sequence(0L, {shards - 1}L))"))
         .where("shard != own")
         .drop("own")
     )
-    places = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    places = dealt.withColumn("block", F.expr(f"explode(sequence(0L, {blocks - 1}L))"))
 
     def away(shard: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(some):

@@ -46,6 +46,28 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_queries_meet_all_shards_in_many_partitions(spark):
+    """Without merged partitions, a shard and its queries must be dealt to the same one."""
+    rng = random.Random(5)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for shard_rows, query_rows in ((60, 1000), (60, 3)):
+            got = top_k(frame, F.col("vec_id") % 50 == 0, 5, shard_rows, query_rows)
+            assert sorted(map(tuple, got.collect())) == best(vectors, 5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scores_above_2_53_across_shards(spark):
+    """The floor of other shards is exact: scores that differ by one near 2^60 are told apart."""
+    vectors = [(0, [2.0**22, 1 / 256])] + [(i, [2.0**22, i / 256]) for i in range(1, 250)]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = top_k(frame, F.col("vec_id") == 0, 5, 30, 10)
+    assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(i, 2**60 + i) for i in range(249, 244, -1)]
+
+
 def test_ball_tree_bounds_hold():
     rng = np.random.default_rng(2)
     vectors = np.floor(rng.normal(0, 100, (500, 8)))
