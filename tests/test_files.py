@@ -6,9 +6,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 
+import __spark_entry__ as contract
 import followgraph as fg
 from followgraph.sources.scratch import scratch_folder, shared_folder
 from followgraph import jobs
+from followgraph.sources import sinks
 from graphs import DIRTY, DIRTY_EDGES, HUNDREDS, TINY
 
 
@@ -113,6 +115,28 @@ def test_two_path_round_trip(spark, frame, tmp_path):
     assert fg.close_paths(paths, edges).count() == 9
 
 
+def test_compressed_two_paths(spark, frame, tmp_path, monkeypatch):
+    """Stored paths of the chained queries are a fraction of their text, in files of bounded length."""
+    edges = frame([(a, b) for a in range(40) for b in range(40, 80)] + [(b, a) for a in range(40) for b in range(40, 80)])
+    monkeypatch.setattr(sinks, "FILE_ROWS", 10_000)
+    sizes = {}
+    for kind in ("none", "gzip"):
+        out = tmp_path / kind
+        assert fg.write_result(fg.two_paths(edges), str(out), "paths", compression=kind) == 128_000
+        files = list(out.glob("part-*"))
+        sizes[kind] = sum(f.stat().st_size for f in files)
+    assert all(f.name.endswith(".gz") for f in files) and len(files) >= 12
+    assert sizes["gzip"] * 3 < sizes["none"]
+    assert bag(fg.read_two_paths(spark, str(tmp_path / "gzip"))) == bag(fg.two_paths(edges))
+
+
+def test_path_queries_store_compressed_text(frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(contract, "scratch_folder", lambda spark: str(tmp_path / "place"))
+    contract._write_paths(frame(TINY))
+    files = list((tmp_path / "place" / "paths").glob("part-*"))
+    assert files and all(f.name.endswith(".gz") for f in files)
+
+
 def test_broken_paths_are_dropped_and_counted(spark, tmp_path):
     path = tmp_path / "paths"
     path.write_text("1,2\t2,3\n1,2\t4,3\nx\n")
