@@ -130,6 +130,28 @@ def test_copies_of_a_path_reach_all_tasks(frame):
     assert sum(sizes) == 60**3 and len(sizes) >= 2
 
 
+def test_paths_no_edge_can_close_are_not_shuffled(spark):
+    """Of 10,000 paths, the few whose ends an edge may join are all that is counted and shuffled."""
+    given = spark.range(10_000).selectExpr("id AS src", "-1L AS mid", "id + 1000000 AS dst")
+    pairs = [(1_000_007, 7), (1_000_008, 9), (1_000_007, 7), (5, 1_000_005), (-3, -4)]
+    edges = spark.createDataFrame(pairs, "follower bigint, followee bigint")
+    closing = fg.collapse(edges).selectExpr("follower AS dst", "followee AS src", "n")
+    kept = paths._ending_at(paths._ending_at(given, "dst", closing), "src", closing)
+    assert kept.where("src = 7").count() == 1 and kept.count() < 20
+    closed = fg.close_paths(given, edges)
+    assert len(re.findall("BroadcastHashJoin.*LeftSemi", plan(closed))) == 2
+    assert list(map(tuple, closed.collect())) == [(7, -1, 1_000_007)] * 2
+
+
+def test_marks_of_sparse_nodes_are_bounded(spark, monkeypatch):
+    """Every node of the closing edges passes, with few numbers as well, whatever its id."""
+    monkeypatch.setattr(paths, "MARKS", 4)
+    ids = [0, 1, -1, 64, -64, 2**62, -(2**63), 2**63 - 1, *range(640, 64_000, 640)]
+    edges = spark.createDataFrame([(i, -i - 1) for i in ids], "follower bigint, followee bigint")
+    given = edges.selectExpr("followee AS src", "5L AS mid", "follower AS dst")
+    assert sorted(fg.close_paths(given, edges).collect()) == sorted(given.collect())
+
+
 def test_building_a_query_runs_no_job(spark):
     if not FOLDER.exists():
         pytest.skip("no test tables")
