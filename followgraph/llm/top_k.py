@@ -104,6 +104,28 @@ class BallTree:
                 floor = max(floor, best[0][0])
         return [(score, -i) for score, i in best]
 
+    def reaching(self, queries: np.ndarray, floors: list[int], k: int) -> list[list[tuple[int, int]]]:
+        """The k best (score, vec_id) that reach its floor, for every query; ties to smaller ids.
+
+        A leaf is scored at once for all queries whose bound reaches their floor.
+        """
+        bounds, least = self.bounds(queries), np.array(floors, np.float64)
+        found: list[list[tuple[int, int]]] = [[] for _ in floors]
+        for node, rows in enumerate(self.rows):
+            if rows is None:
+                continue
+            some = np.flatnonzero(bounds[:, node] >= least)
+            if not len(some):
+                continue
+            scores = queries[some] @ self.vectors[rows].T
+            names = self.ids[rows]
+            for i in np.flatnonzero(scores.max(axis=1) >= least[some]).tolist():
+                good = np.flatnonzero(scores[i] >= least[some[i]])
+                if len(good) > k:
+                    good = good[np.lexsort((names[good], -scores[i][good]))[:k]]
+                found[some[i]] += [(int(scores[i, j]), int(names[j])) for j in good]
+        return [sorted(f, key=lambda x: (-x[0], x[1]))[:k] for f in found]
+
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.floor(SCALE * np.stack([np.asarray(v, np.float64) for v in column]))
@@ -119,6 +141,12 @@ def _answers(shard: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
             queries = _matrix(some["embedding"])
             # Whole numbers: above 2^53 a rounded floor could pass over a score that reaches it.
             ids, floors = some["vec_id"].to_numpy(np.int64), some["floor"].to_numpy(np.int64).tolist()
+            whole = abs(queries).max(initial=0) * abs(tree.vectors).max(initial=0) * dim < EXACT
+            if whole and min(floors) > LEAST and not set(ids.tolist()) & set(tree.ids.tolist()):
+                # With floors of another shard, all queries go through the leaves together.
+                for i, best in zip(ids.tolist(), tree.reaching(queries, floors, k), strict=True):
+                    out += [(i, vec, score) for score, vec in best]
+                continue
             for i, bounds in enumerate(tree.bounds(queries)):
                 found = tree.search(queries[i], int(ids[i]), bounds, k, floors[i])
                 out += [(int(ids[i]), vec, score) for score, vec in found]
