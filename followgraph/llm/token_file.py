@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import struct
 import unicodedata
 import zlib
@@ -11,20 +12,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from followgraph.llm import elias_fano
 from followgraph.llm.scratch import shuffles_dropped
-from followgraph.llm.worker import once, slices
+from followgraph.llm.worker import once, slices, text_buffer
 
 MAGIC = b"FGTOKEN1"
 HEAD = "<8sQQQqB7x"
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-MEMO = 600_000
-MARKS = tuple(".,;:!?")
+MEMO = 1_000_000
+# Text that is encoded at a time: words that come again in it are looked up once.
+ENCODED_BYTES = 8 << 20
+MARKS = string.punctuation
 SEGMENTS = "part int, segment int, n_docs bigint, n_ids bigint, before bigint, payload binary"
 
 
@@ -73,7 +77,8 @@ class _Tokenizer:
     """A tokenizer of the tokenizers library, with a bounded memo of words.
 
     Its model drops white space and never looks across it, so what stands
-    between spaces and line ends is encoded alone; so is a word before a mark.
+    between spaces and line ends is encoded alone; so are a word and the ASCII
+    marks that end it.
     """
 
     def __init__(self, path: str):
@@ -85,12 +90,13 @@ class _Tokenizer:
         self.wide = self.model.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.code = "I" if self.wide else "H"
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found = self.model.encode_batch_fast(words, add_special_tokens=False)
+        return [array(self.code, f.ids).tobytes() for f in found]
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > MEMO:
-            self.words.clear()
         new = words.difference(self.words)
         # A lower-case ASCII word passes the library's other steps unchanged.
         simple = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
@@ -98,46 +104,49 @@ class _Tokenizer:
         for word in simple:
             self.words[word] = array(self.code, [t.id for t in tokens(word)]).tobytes()
         rest = list(new.difference(simple))
-        for word, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[word] = array(self.code, found.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of every text."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.chunks) > MEMO:
-            self.chunks.clear()
-        known, out, late = self.chunks, [], []
-        for i, chunks in enumerate(split):
-            try:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            except KeyError:
-                out.append(b"")
-                late.append(i)
-        new = set()
-        for i in late:
-            new.update(split[i])
-        parts, odd = {}, []
-        for chunk in new.difference(known):
-            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in MARKS else (chunk, "")
+        self.words.update(zip(rest, self._encoded(rest), strict=True))
+
+    def _packed(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks that all differ."""
+        if len(self.words) > MEMO:
+            self.words.clear()
+        words = [c.rstrip(MARKS) for c in chunks]
+        marks = [c[len(w) :] for c, w in zip(chunks, words, strict=True)]
+        odd = []
+        for i, word in enumerate(words):
             if word.isascii():
-                plain = word.isalpha()
-                parts[chunk] = (word.lower(), mark) if plain else (chunk, "")
-            else:
-                plain = unicodedata.normalize("NFC", word).lower().isalpha()
-                parts[chunk] = (word, mark) if plain else (chunk, "")
-            if not plain:
-                odd.append(chunk)
-        self._learn({x for pair in parts.values() for x in pair})
-        for chunk, (word, mark) in parts.items():
-            known[chunk] = self.words[word] + self.words[mark]
-        for i in late:
-            out[i] = b"".join(map(known.__getitem__, split[i]))
+                if word.isalpha():
+                    words[i] = word.lower()
+                elif word:
+                    odd.append(i)
+            elif not unicodedata.normalize("NFC", word).lower().isalpha():
+                odd.append(i)
         # Numbers, addresses and the like seldom come again.
-        for chunk in odd:
-            del known[chunk]
-            self.words.pop(chunk, None)
+        apart = self._encoded([chunks[i] for i in odd])
+        for i in odd:
+            words[i] = marks[i] = ""
+        self._learn({*words, *marks})
+        known = self.words
+        out = [known[w] + known[m] for w, m in zip(words, marks, strict=True)]
+        for i, ids in zip(odd, apart, strict=True):
+            out[i] = ids
         return out
 
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Packed ids of every text. A chunk that stands often in these texts is looked up once."""
+        data, offsets = text_buffer(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        spaced = np.where(data == ord("\n"), np.uint8(ord(" ")), data)
+        column = pa.LargeStringArray.from_buffers(
+            len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(spaced)
+        )
+        split = pc.split_pattern(column, " ")
+        chunks = split.flatten().dictionary_encode()
+        packed = self._packed(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(packed, pa.large_binary()).take(chunks.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        flat = memoryview(ids.buffers()[2] or b"")
+        return [bytes(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
 def write_tokens(
     documents: DataFrame,
@@ -183,8 +192,8 @@ def write_tokens(
                 ["part", "segment", "n_docs", "n_ids", "before", "payload"],
             )
 
-        for piece in slices(batches):
-            found = coder.encode(piece.column(1).to_pylist())
+        for piece in slices(batches, size=ENCODED_BYTES):
+            found = coder.encode(piece.column(1))
             for name, packed in zip(piece.column(0).to_pylist(), found, strict=True):
                 own = np.concatenate([np.frombuffer(packed, coder.kind), end])
                 if names and size + len(own) > segment_ids:

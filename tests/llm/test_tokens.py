@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -117,6 +118,20 @@ def test_tokenizer_memo():
         assert np.frombuffer(packed, coder.kind).tolist() == want, text
 
 
+def test_words_before_marks_are_encoded_once():
+    """The library is asked once for a word, whatever marks end it; odd chunks and chunk borders stay exact."""
+    coder = token_file._Tokenizer(P.path("word_bpe_49k.json"))
+    asked, inner = [], coder._encoded
+    coder._encoded = lambda words: asked.extend(words) or inner(words)
+    some = ["Öde$$$ Öde!! (a'b)%%% it's''", "Öde.### x1,, \n\n  '' ***", "", " ", "e\u0301$$$ \u0130.. \u00e9-- a\u0301b's,"]
+    for text, packed in zip(some, coder.encode(some), strict=True):
+        want = coder.model.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, coder.kind).tolist() == want, text
+    assert asked.count("Öde") == 1 and not any(w.startswith("Öde") and w != "Öde" for w in asked)
+    sliced = pa.array(["left out", *some, None])[1:]
+    assert coder.encode(sliced) == [*coder.encode(some), b""]
+
+
 def test_write_and_read_files(spark, tmp_path):
     rows = [(i * 7 % 101, t) for i, t in enumerate(texts(8, 100))] + [(None, "n"), (5, None), (5, None)]
     frame = spark.createDataFrame([(t, i, 0) for i, t in rows], "text string, doc_id bigint, part int")
