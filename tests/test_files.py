@@ -137,6 +137,17 @@ def test_path_queries_store_compressed_text(frame, tmp_path, monkeypatch):
     assert files and all(f.name.endswith(".gz") for f in files)
 
 
+def test_stored_edges_are_compressed_and_shuffles_dropped(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(contract, "scratch_folder", lambda spark: str(tmp_path / "place"))
+    edges, seen, inner = frame(TINY), [], sinks.shuffles_dropped
+    monkeypatch.setattr(sinks, "shuffles_dropped", lambda spark: seen.append(spark) or inner(spark))
+    assert bag(contract._edges_csv_round_trip(edges)) == bag(edges)
+    contract._write_paths(edges)
+    files = [f for f in (tmp_path / "place").rglob("part-*")]
+    assert files and all(f.name.endswith(".gz") for f in files)
+    assert len(seen) == 6
+
+
 def test_broken_paths_are_dropped_and_counted(spark, tmp_path):
     path = tmp_path / "paths"
     path.write_text("1,2\t2,3\n1,2\t4,3\nx\n")

@@ -152,6 +152,17 @@ def test_marks_of_sparse_nodes_are_bounded(spark, monkeypatch):
     assert sorted(fg.close_paths(given, edges).collect()) == sorted(given.collect())
 
 
+def test_edges_on_no_path_are_not_shuffled_to_their_middle(spark, monkeypatch):
+    """Of 5,000 edges, those to nodes without edges out and from nodes without edges in are dropped, but for a few."""
+    kept, grid = {}, paths.grid_paths
+    monkeypatch.setattr(paths, "grid_paths", lambda ins, outs, *more: kept.update(ins=ins, outs=outs) or grid(ins, outs, *more))
+    edges = spark.range(5_000).selectExpr("id + 100000000 AS follower", "id AS followee")
+    edges = edges.unionAll(spark.createDataFrame([(7, 900_000_000), (7, 900_000_000)], edges.schema))
+    found = fg.two_paths(edges)
+    assert list(map(tuple, found.collect())) == [(100_000_007, 7, 900_000_000)] * 2
+    assert 1 <= kept["ins"].count() < 20 and 1 <= kept["outs"].count() < 20
+
+
 def test_building_a_query_runs_no_job(spark):
     if not FOLDER.exists():
         pytest.skip("no test tables")
