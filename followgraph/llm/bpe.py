@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -17,6 +19,8 @@ from followgraph.llm.worker import once, slices
 
 # Entries of one memo; a full memo is emptied, so memory is bounded.
 MEMO = 200_000
+# Text that is encoded at a time: what stands between two spaces is looked up once in it.
+ENCODED_BYTES = 4 << 20
 NEVER = 1 << 62
 # A mark that ends a word is a match of its own.
 MARKS = tuple(".,;:!?")
@@ -33,6 +37,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
@@ -144,7 +149,7 @@ class PrefixTable:
 
     def append(self, data: bytes) -> None:
         first = len(self.data) + 1
-        self.data += data
+        self.data = self.data + data if self.data else data
         if first == 1:
             self._fill()
             return
@@ -154,16 +159,16 @@ class PrefixTable:
     def _fill(self) -> None:
         """All entries, from one pass that finds the tokens that end at each byte, longest first."""
         v, last = self.vocabulary, self.last
-        memo, done = v.memo.get, -1
+        memo, add, done = v.memo.get, last.append, -1
         for end, (rank, back) in v.finder.iter(self.data.decode("latin-1")):
             if end == done:
                 continue
-            start = end - back
-            if start:
-                fits = memo(last[start] << 32 | rank)
-                if not (fits or (fits is None and v.compatible(last[start], rank))):
+            if back != end:
+                before = last[end - back]
+                fits = memo(before << 32 | rank)
+                if not (v.compatible(before, rank) if fits is None else fits):
                     continue
-            last.append(rank)
+            add(rank)
             done = end
         if done != len(self.data) - 1 or len(last) != len(self.data) + 1:
             raise ValueError("the vocabulary lacks a byte")
@@ -186,47 +191,56 @@ class PrefixTable:
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
+        last, sizes = self.last, self.vocabulary.sizes
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
-        return out[::-1]
+            rank = last[end]
+            out.append(rank)
+            end -= sizes[rank]
+        out.reverse()
+        return out
 
 
 class _Memo(dict):
-    """A bounded memo of a function from text to packed ids."""
+    """A bounded memo of a function from text to packed ids. A full memo is put aside, and what is asked for again returns."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
+        self.aside: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        value = self.aside.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(self) >= MEMO:
+            self.aside = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
     """Texts to ids and back: each match of ``pattern`` is encoded on its own.
 
-    Words repeat, so packed ids are memoised, for matches and for what stands
-    between two spaces. Cutting at a space is exact where no white space
-    follows it: ``pattern`` gives such a space to the next match, and what
-    comes before it ends there.
+    Words repeat, so packed ids of matches are memoised, and many texts are
+    encoded at once: what stands between two spaces is looked up once for all
+    of them. Cutting at a space is exact where no white space follows it:
+    ``pattern`` gives such a space to the next match, and what comes before it
+    ends there.
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
         self.pieces = _Memo(self._piece)
-        self.heads = _Memo(self._matches)
-        self.tails = _Memo(self._tail)
         self.space_run = re.compile(r" \s")
+        tokens = vocabulary.tokens
+        self.table = pa.array([tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)], pa.large_binary())
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
@@ -248,7 +262,30 @@ class Encoder:
         if self.space_run.search(text):
             return self._matches(text)
         head, *tails = text.split(" ")
-        return self.heads[head] + b"".join(map(self.tails.__getitem__, tails))
+        return self._matches(head) + b"".join(map(self._tail, tails))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text. A null is an empty text."""
+        column = texts.cast(pa.large_string()).fill_null("")
+        runs = pc.match_substring_regex(column, r" [\s\v\x1c-\x1f\x{85}\p{Z}]")
+        whole = {i: self._matches(column[i].as_py()) for i in np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist()}
+        split = pc.split_pattern(pc.if_else(runs, "", column), " ")
+        firsts = split.offsets.to_numpy()
+        chunks = split.flatten().dictionary_encode()
+        # The first chunk of a text has no space before it.
+        heads = split.flatten().take(pa.array(firsts[:-1])).to_pylist()
+        tails = chunks.indices.to_numpy().copy()
+        packed = [b""] * len(chunks.dictionary)
+        known = np.ones(len(tails), bool)
+        known[firsts[:-1]] = False
+        wanted = np.flatnonzero(np.bincount(tails[known], minlength=len(packed)))
+        for i, chunk in zip(wanted.tolist(), chunks.dictionary.take(pa.array(wanted)).to_pylist(), strict=True):
+            packed[i] = self._tail(chunk)
+        tails[firsts[:-1]] = len(packed) + np.arange(len(heads))
+        ids = pa.array(packed + [self._matches(head) for head in heads], pa.large_binary()).take(pa.array(tails))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[firsts].tolist()
+        flat = memoryview(ids.buffers()[2] or b"")
+        return [whole.get(i) or bytes(flat[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 
     def extend(self, text: str, ids: bytes, more: str) -> bytes:
         """Packed ids of ``text + more`` from those of ``text``: only its last match is encoded anew."""
@@ -260,7 +297,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that packed ids stand for."""
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return bytes(self.table.take(pa.array(np.frombuffer(ids, "<u4"))).buffers()[2] or b"")
 
 
 def _coder(path: str, pattern: str) -> Encoder:
@@ -279,8 +316,8 @@ def encoded(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
-        for part in slices(batches):
-            ids = [coder.encode(text or "") for text in part.column(1).to_pylist()]
+        for part in slices(batches, size=ENCODED_BYTES):
+            ids = coder.encode_all(part.column(1))
             hashes = [hashlib.sha256(x).hexdigest() for x in ids]
             decoded = [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays(

@@ -48,6 +48,25 @@ def test_encode_and_decode(coder):
         assert coder.decode(found) == text.encode()
 
 
+def test_many_texts_are_encoded_at_once(coder, monkeypatch):
+    """What comes again between spaces is looked up once for all texts; white space of any kind stays exact."""
+    library = plain(coder)
+    some = [*texts(5), "a \x85b", "a \x1cb", "a \u2028 b", "a \u00a0b", "a\u3000 b", "ends ", " starts", None]
+    found = coder.encode_all(pa.array(["left out", *some])[1:])
+    for text, packed in zip(some, found, strict=True):
+        assert ids(packed) == library.encode_ordinary(text or ""), text
+        assert packed == coder.encode(text or "") and coder.decode(packed) == (text or "").encode()
+    new = bpe.Encoder(coder.vocabulary, P.PATTERN)
+    asked, inner = [], new._tail
+    new._tail = lambda chunk: asked.append(chunk) or inner(chunk)
+    new.encode_all(pa.array(["one two one two,", "two one one two"]))
+    assert sorted(asked) == ["one", "two", "two,"]
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    made = []
+    memo = bpe._Memo(lambda x: made.append(x) or x.encode())
+    assert [memo[x] for x in "abcda"] == [b"a", b"b", b"c", b"d", b"a"] and made == list("abcd")
+
+
 def test_extend(coder):
     rng = random.Random(2)
     for text in texts(3, 200):
