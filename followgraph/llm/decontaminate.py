@@ -37,6 +37,9 @@ FOUND = (
 )
 
 
+_NONE = np.empty(0, np.uint64)
+
+
 def weights(lengths: np.ndarray) -> np.ndarray:
     """Weight of a word: its length in bytes, at most MOST_WEIGHT. Short words are common ones."""
     return np.minimum(lengths, MOST_WEIGHT).astype(np.int64)
@@ -44,7 +47,8 @@ def weights(lengths: np.ndarray) -> np.ndarray:
 
 def signed(hashes: np.ndarray, weight: np.ndarray, kind: type = np.int16) -> np.ndarray:
     """A row of BITS numbers for each word: plus or minus its weight, by the bits of its hash."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
+    # Flat, as a row is whole bytes: numpy is slow on many short rows.
+    bits = np.unpackbits(hashes.view(np.uint8)).view(np.int8).reshape(-1, BITS).astype(kind)
     bits *= 2
     bits -= 1
     bits *= weight.astype(kind)[:, None]
@@ -53,7 +57,7 @@ def signed(hashes: np.ndarray, weight: np.ndarray, kind: type = np.int16) -> np.
 
 def packed(sums: np.ndarray) -> np.ndarray:
     """Fingerprints: the signs of the sums."""
-    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+    return np.packbits((sums > 0).ravel()).view(np.uint64)
 
 
 def _neighbours(distance: int) -> np.ndarray:
@@ -227,11 +231,11 @@ def places(
 
 def _near(prints: np.ndarray, kind: _Size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows and fingerprints of items within RADIUS of each other, with their distance."""
-    parts = prints.view(np.uint16).reshape(-1, BLOCKS)
+    parts = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)
     windows, others = [], []
     for b in range(BLOCKS):
-        values = parts[:, b]
-        hit = np.flatnonzero(kind.taken[b][values])
+        values = parts[b]
+        hit = np.flatnonzero(kind.taken[b].take(values))
         if len(hit):
             values = values[hit].astype(np.int64)
             low = kind.offsets[b][values]
@@ -270,8 +274,16 @@ def candidates(held: Words, index: Index) -> Iterator[tuple[int, int, int, int,
         some = np.flatnonzero((held.first[1:] > low) & (held.first[:-1] < high))
         for size in index.sizes:
             step = size.stride
-            at = np.flatnonzero((room >= size.size) & (within % step == 0))
-            parts = [(at + low, at + low + size.size, packed(rows[at + size.size] - rows[at]))]
+            fits = room >= size.size
+            if step == 1:
+                # Nearly all places: neighbours are subtracted as they lie, and few of the prints dropped.
+                n_here = min(high - low, len(rows) - size.size)
+                at = np.flatnonzero(fits)
+                prints = packed(rows[size.size : size.size + n_here] - rows[:n_here])[at] if len(at) else _NONE
+            else:
+                at = np.flatnonzero(fits & (within % step == 0))
+                prints = packed(rows.take(at + size.size, axis=0) - rows.take(at, axis=0))
+            parts = [(at + low, at + low + size.size, prints)]
             # The last window of a text, where steps pass it by, and texts somewhat shorter than a window.
             a, b = held.first[some], held.first[some + 1]
             at = np.maximum(a, b - size.size)

@@ -174,6 +174,20 @@ def test_windows_lie_on_a_grid_over_each_text():
     assert {(t, i) for t, i, at, _, _ in alone if at == 0} == {(t, i) for i, t in enumerate(texts)}
 
 
+def test_windows_are_the_same_in_chunks_of_any_size(monkeypatch):
+    """Windows that cross chunks, of every place and of a grid, and texts shorter than a window."""
+    rng = random.Random(12)
+    some = [" ".join(lines(rng, [f"v{i}" for i in range(12)], k)) for k in (4, 9, 14, 16, 40, 60, 90, 0, 33)]
+    index = decontaminate.build([(i, t) for i, t in enumerate(some) if len(t) > 30])
+    assert {s.stride for s in index.sizes} >= {1, 2}
+    held = decontaminate.words(*decontaminate.text_buffer(pa.array(some * 3, pa.large_string())))
+    found = []
+    for size in (decontaminate.CHUNK_WORDS, 1, 100):
+        monkeypatch.setattr(decontaminate, "CHUNK_WORDS", size)
+        found.append(sorted(decontaminate.candidates(held, index)))
+    assert len(found[0]) >= 9 and found[0] == found[1] == found[2]
+
+
 def test_edits_far_from_the_fingerprint():
     """Blocks replaced, ends cut off and words put in, down to the least similarity."""
     rng = random.Random(9)
