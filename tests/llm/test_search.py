@@ -348,6 +348,26 @@ def test_near_repeats_among_documents_that_hold_most_of_them(spark, put_in):
     assert {(r.doc_id, r.other_id) for r in got} == want
 
 
+def test_near_repeats_whose_every_run_is_frequent(spark):
+    """200 other documents hold parts of each passage, so that all its runs are in more than 16 documents."""
+    rng = random.Random(10)
+
+    def around(found):
+        before, after = ([f"x{rng.random()}" for _ in range(30)] for _ in range(2))
+        return " ".join(before + found + after)
+
+    docs, want = [], set()
+    for i in range(20):
+        one = [f"p{i}.{j}" for j in range(51)]
+        two = one[:25] + ["more"] + one[25:]
+        for full in (one, two):
+            docs += [(len(docs) + k, around(one[at : at + 38])) for k, at in enumerate(rng.choices([0, 13], k=100))]
+            docs.append((len(docs), around(full)))
+        want.add((docs[-1][0], docs[-102][0]))
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want
+
+
 def test_large_group_of_copies_gives_few_rows(spark):
     text = " ".join(f"c{i}" for i in range(120))
     frame = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string")
