@@ -368,6 +368,30 @@ def test_near_repeats_whose_every_run_is_frequent(spark):
     assert {(r.doc_id, r.other_id) for r in got} == want
 
 
+def test_passages_wider_than_what_a_third_document_holds(spark):
+    """Two documents share 140 words, of which an earlier one holds the 60 in the middle."""
+    rng = random.Random(11)
+    docs, want = [], {}
+    for i in range(20):
+        passage = [f"p{i}.{j}" for j in range(140)]
+        for found in (passage[40:100], passage, passage):
+            before, after = ([f"x{rng.random()}" for _ in range(3)] for _ in range(2))
+            docs.append((len(docs), " ".join(before + found + after)))
+        want[3 * i + 2, 3 * i + 1] = (3, 143, 3, 143)
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    found = {(r.doc_id, r.other_id): (r.start_word, r.end_word, r.other_start, r.other_end) for r in got}
+    assert {k: found.get(k) for k in want} == want
+
+
+def test_leaders_of_a_run_all_meet(spark, monkeypatch):
+    rows = [(key, key * n, d, 5, 0, 60, False) for key, n in ((1, 40), (2, 1)) for d in range(n)]
+    windows = spark.createDataFrame([(k, d, p, s, e, d, few) for k, _, d, p, s, e, few in rows], passages.WINDOWS)
+    for side in (3, 256):
+        monkeypatch.setattr(passages, "CELL_LEADERS", side)
+        got = [(r.x, r.y) for r in passages.leader_meetings(windows, passages.leaders(windows)).collect()]
+        assert sorted(got) == [(x, y) for x in range(40) for y in range(x)]
+
+
 def test_large_group_of_copies_gives_few_rows(spark):
     text = " ".join(f"c{i}" for i in range(120))
     frame = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string")
@@ -375,6 +399,12 @@ def test_large_group_of_copies_gives_few_rows(spark):
     assert len(got) <= 600 and {r.doc_id for r in got} | {r.other_id for r in got} == set(range(300))
 
 
+def test_alike_finds_neighbours_that_are_apart_in_the_other():
+    one = np.arange(200)
+    two = np.concatenate([one[:100], -np.arange(1, 260), one[100:]])
+    assert {x[:4] for x in passages._alike(one, two, 47, 75)} == {(0, 100, 0, 100), (100, 200, 359, 459)}
+
+
 def test_alike_splits_down_to_exact_repeats():
     one = np.arange(400)
     two = one.copy()
