@@ -156,6 +156,17 @@ def test_broken_paths_are_dropped_and_counted(spark, tmp_path):
     assert rejected.get == {"read": 3, "dropped": 2}
 
 
+def test_fields_of_paths_are_read_once(spark, tmp_path):
+    """No filter repeats the work of the fields; odd lines are as in a read that counts them."""
+    path = tmp_path / "paths.tsv"
+    path.write_text('1,2\t2,3\n1,2,9\t2,3,9\t7\n1,02\t2,3\n"1,2"\t"2,3"\n 1 ,2\t2, 3\n\n1\t1,2\nx,2\t2,3\n1,2\t3,4\n')
+    paths = fg.read_two_paths(spark, str(path))
+    assert bag(paths) == [(1, 2, 3)] * 5
+    assert bag(fg.read_two_paths(spark, str(path), Observation())) == [(1, 2, 3)] * 5
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("split" in line for line in plan.splitlines() if "Filter" in line)
+
+
 def test_missing_values_and_separators(spark, tmp_path):
     df = spark.createDataFrame([(1, None, 3)], "a bigint, b bigint, c bigint")
     for fmt, want in {"csv": "1,null,3", "tuple": "(1,null,3)", "tsv": "1\tnull\t3"}.items():
