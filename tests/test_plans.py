@@ -285,3 +285,12 @@ def test_stored_edges_are_joined_without_a_shuffle(store):
     assert "SortMergeJoin" in plan(cold) and "Exchange" not in plan(cold)
     both = kept.degrees()
     assert plan(both).count("Exchange") == plan(both).count("Exchange hashpartitioning") == 2
+
+
+def test_single_rows_are_repeated_by_a_constant(spark):
+    from followgraph.functions.columns import each, repeat_rows
+
+    rows = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (4, 70_000)], "a bigint, n bigint")
+    got = repeat_rows(rows, "n").groupBy("a").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 3), (3, 1), (4, 70_000)]
+    assert "if ((n" in plan(rows.selectExpr(each("n"))).lower()
