@@ -383,6 +383,18 @@ def test_passages_wider_than_what_a_third_document_holds(spark):
     assert {k: found.get(k) for k in want} == want
 
 
+def test_rounds_find_what_one_finds(spark):
+    shared = [f"p{j}" for j in range(60)]
+    docs = [(i, " ".join([f"x{i}"] + shared + [f"y{i}"])) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    pairs = [(x, y, 0, 57, 0, 57) for x in range(12) for y in range(x)]
+    regions = spark.createDataFrame(pairs, "x bigint, y bigint, s bigint, e bigint, lo bigint, hi bigint")
+    one, many = (passages.compared_in_rounds(frame, regions, 47, 75, n) for n in (1 << 30, 8 * 58 * 10))
+    assert len(one.inputFiles()) and one.count() == 66
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+    assert len({f.rsplit("/", 2)[1] for f in many.inputFiles()}) == 7
+
+
 def test_leaders_of_a_run_all_meet(spark, monkeypatch):
     rows = [(key, key * n, d, 5, 0, 60, False) for key, n in ((1, 40), (2, 1)) for d in range(n)]
     windows = spark.createDataFrame([(k, d, p, s, e, d, few) for k, _, d, p, s, e, few in rows], passages.WINDOWS)
